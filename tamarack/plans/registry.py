@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.plans import problems
+from tamarack.plans import aggregates, hierarchies, joins, ordering, problems, scalars
 
-_MODULES = [problems]
+_MODULES = [scalars.P, joins.P, aggregates.P, ordering.P, hierarchies.P]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return problems.QUERIES | {name: f for m in _MODULES for name, f in m.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+    return problems.ORACLES | {name: sql for m in _MODULES for name, sql in m.oracles.items()}
