@@ -26,25 +26,27 @@ def connect_by(edges: DataFrame, start: DataFrame, *, parent: str, child: str, r
     row = start.select(F.col(root).alias("root"), F.col(root).alias("item"), F.lit(1).alias("level"), F.array(F.col(root)).alias("path"), *[v.alias(c) for c, (v, _) in carry.items()])
     level = cut(row.where("item is not null").withColumn("_id", F.xxhash64(F.monotonically_increasing_id(), "path")))
     kinds = {c: level.schema[c].dataType for c in carry}
-    done = None
+    found, parents = level, None
     for n in range(2, max_level + 2):
         up = level.select("root", F.col("item").alias("_up"), F.col("path").alias("_path"), "_id", *[F.col(c).alias(f"up_{c}") for c in carry])
-        down = up.join(edges, F.col("_up") == F.col(parent)).withColumn("_seen", F.array_contains("_path", F.col(child)))
-        down = down.where(F.col(child).isNotNull())
-        down = cut(
-            down.select("root", F.col(child).alias("item"), F.lit(n).alias("level"), F.concat("_path", F.array(child)).alias("path"), F.col("_id").alias("_of"), "_seen", *[e.cast(kinds[c]).alias(c) for c, (_, e) in carry.items()])
-        )
-        if not nocycle and not down.where("_seen").isEmpty():
+        down = up.join(edges.where(F.col(child).isNotNull()), F.col("_up") == F.col(parent)).withColumn("_seen", F.array_contains("_path", F.col(child)))
+        row = down.select("root", F.col(child).alias("item"), F.lit(n).alias("level"), F.concat("_path", F.array(child)).alias("path"), F.col("_id").alias("_of"), "_seen", *[e.cast(kinds[c]).alias(c) for c, (_, e) in carry.items()])
+        row = cut(row.withColumn("_id", F.xxhash64(F.monotonically_increasing_id(), "path")))
+        if not nocycle and not row.where("_seen").isEmpty():
             raise BizError("CYCLE", "the hierarchy holds a cycle")
-        below = down.where("not _seen")
-        judged = level.join(below.select(F.col("_of").alias("_id"), F.lit(0).alias("is_leaf")).distinct(), "_id", "left").withColumn("is_leaf", F.coalesce("is_leaf", F.lit(1))).drop("_id")
-        done = judged if done is None else done.unionByName(judged)
-        if below.isEmpty():
-            return done
+        row = row.where("not _seen")
+        if row.isEmpty():
+            break
         if n > max_level:
             raise BizError("TOO_DEEP", f"more than {max_level} levels")
-        level = cut(below.drop("_of", "_seen").withColumn("_id", F.xxhash64(F.monotonically_increasing_id(), "path")))
-    raise BizError("TOO_DEEP", f"more than {max_level} levels")
+        level = row.drop("_of", "_seen")
+        found = found.unionByName(level)
+        of = row.select(F.col("_of").alias("_id"))
+        parents = of if parents is None else parents.unionByName(of)
+    if parents is None:
+        return found.drop("_id").withColumn("is_leaf", F.lit(1))
+    inner = parents.distinct().withColumn("is_leaf", F.lit(0))
+    return found.join(inner, "_id", "left").drop("_id").withColumn("is_leaf", F.coalesce("is_leaf", F.lit(1)))
 
 
 def sibling_order(path: Column, width: int = 19) -> Column:

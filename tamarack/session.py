@@ -33,6 +33,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; its lineage ends there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared checkpoint folder; its lineage ends there.
+
+    Constraints that the optimizer would carry over from the plan end too: over the rounds of a
+    loop that builds paths they grow exponentially.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
