@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.plans import aggregates, changes, hierarchies, joins, nested, ordering, problems, scalars, source_code, streams
+from tamarack.plans import aggregates, changes, dialects, hierarchies, joins, nested, ordering, problems, scalars, source_code, streams
 
-_MODULES = [scalars.P, joins.P, aggregates.P, ordering.P, hierarchies.P, changes.P, nested.P, streams.P, source_code.P]
+_MODULES = [scalars.P, joins.P, aggregates.P, ordering.P, hierarchies.P, changes.P, nested.P, streams.P, source_code.P, dialects.P]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
