@@ -104,7 +104,7 @@ def recursive_with(s: S, d: str) -> DataFrame:  # noqa: ARG001
 @P.query("""
     WITH RECURSIVE e AS (SELECT p_partkey AS parent, p_partkey * 2 AS child, 2.0 AS qty FROM part WHERE p_partkey BETWEEN 1 AND 100 UNION ALL SELECT p_partkey, p_partkey * 2 + 1, 1.5 FROM part WHERE p_partkey BETWEEN 1 AND 100),
     w AS (SELECT child AS item, child AS top, CAST(1.0 AS DOUBLE) AS cum FROM e WHERE child NOT IN (SELECT parent FROM e) UNION ALL SELECT w.item, e.parent, w.cum * CAST(e.qty AS DOUBLE) FROM w JOIN e ON e.child = w.top)
-    SELECT top AS item, round(sum(cum * p_retailprice), 2) AS value FROM w JOIN part ON p_partkey = item GROUP BY 1""")
+    SELECT top AS item, round(sum(cum * coalesce(p_retailprice, 0)), 2) AS value FROM w LEFT JOIN part ON p_partkey = item GROUP BY 1""")
 def rolled_cost(s: S, d: str) -> DataFrame:
     """Costs rolled up bottom-up, each node once, rounded at every node."""
     p = t(s, d, "part").where(F.col("p_partkey").between(1, 100)).select(F.col("p_partkey").alias("parent"))
