@@ -46,14 +46,18 @@ def _newlines(text: Column) -> Column:
 
 
 def lexed(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
-    """One row for each token that is no line end: file_id, pos, token, comment (or code), line and end_line (from 1)."""
+    """One row for each token that is no line end: file_id, pos, token, comment (or code), line and end_line (from 1).
+
+    Tokens of a repeated file lie side by side in its order; one of each is kept.
+    """
     tokens = files.where(F.col(file_id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(file_id).alias("file_id"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0))).alias("pos", "token")
     )
     order = Window.partitionBy("file_id").orderBy("pos")
     lines = _newlines(F.col("token"))
+    once = tokens.withColumn("before", F.lag("pos").over(order)).where("before is null or before != pos").drop("before")
     return (
-        tokens.withColumn("end_line", F.lit(1) + F.sum(lines).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        once.withColumn("end_line", F.lit(1) + F.sum(lines).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("line", F.col("end_line") - lines)
         .where(~F.col("token").startswith("\n"))
         .withColumn("comment", F.col("token").startswith("--") | F.col("token").startswith("/*"))
@@ -78,34 +82,37 @@ def routines(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
     """
     order = Window.partitionBy("file_id").orderBy("pos")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
     code = ~F.col("comment")
     t = lexed(files, file_id=file_id, text=text).withColumn("up", F.when(code & F.col("token").rlike(r"^[\p{L}_;(/)]"), F.upper("token")))
     # Comments on lines of their own, by the code token that they precede.
     t = (
         t.withColumn("group", F.coalesce(F.sum(code.cast("int")).over(before), F.lit(0)))
         .withColumn("code_above", F.last(F.when(code, F.col("end_line")), ignorenulls=True).over(before))
-        .withColumn("code_below", F.first(F.when(code, F.col("line")), ignorenulls=True).over(after))
-        .withColumn("own", F.col("comment") & (F.coalesce("code_above", F.lit(0)) < F.col("line")) & (F.coalesce("code_below", F.col("end_line") + 1) > F.col("end_line")))
     )
-    grouped = Window.partitionBy("file_id", "group").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("above", F.when(code, F.collect_list(F.when(F.col("own"), F.col("token"))).over(grouped))).where(code).drop("own", "comment", "group")
+    # A group is a code token and the comments before it.
+    group = Window.partitionBy("file_id", "group")
+    t = t.withColumn("code_below", F.max(F.when(code, F.col("line"))).over(group))
+    own = F.col("comment") & (F.coalesce("code_above", F.lit(0)) < F.col("line")) & (F.coalesce("code_below", F.col("end_line") + 1) > F.col("end_line"))
+    t = t.withColumn("above", F.collect_list(F.when(own, F.struct("pos", "token"))).over(group)).where(code)
+    t = t.withColumn("above", F.transform(F.sort_array("above"), lambda x: x["token"])).drop("comment", "group").withColumn("code_next", F.lead("line").over(order))
     # Statements.
     t = t.withColumn("prev", F.lag("up").over(order)).withColumn("part", F.coalesce(F.sum((F.col("up") == ";").cast("int")).over(before), F.lit(0)))
     paren = F.when(F.col("up") == "(", 1).when(F.col("up") == ")", -1).otherwise(0)
     t = t.withColumn("paren", F.sum(paren).over(Window.partitionBy("file_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    alone = (F.col("up") == "/") & (F.coalesce("code_above", F.lit(0)) < F.col("line")) & (F.coalesce("code_below", F.col("line") + 1) > F.col("line"))
+    alone = (F.col("up") == "/") & (F.coalesce("code_above", F.lit(0)) < F.col("line")) & (F.coalesce("code_next", F.col("line") + 1) > F.col("line"))
     ends = (F.col("up") == ";") | alone | ((F.col("paren") <= 0) & F.col("up").isin("IS", "AS", "BEGIN", "THEN", "ELSE", "LOOP", "DECLARE") & ~F.coalesce((F.col("up") == "AS") & (F.col("prev") == "SELF"), F.lit(False)))
     t = t.withColumn("ends", F.coalesce(ends, F.lit(False)))
     starts = F.coalesce(F.lag("ends").over(order), F.lit(True)) | F.coalesce(F.col("up") == "CREATE", F.lit(False))
     t = t.withColumn("statement", F.sum(starts.cast("int")).over(upto)).withColumn("unit", F.sum(F.coalesce(F.col("up") == "CREATE", F.lit(False)).cast("int")).over(upto))
     inside = Window.partitionBy("file_id", "statement").orderBy("pos")
     others = F.sum((~F.coalesce(F.col("up").isin(_BEFORE), F.lit(False))).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    named = F.when(F.col("token").rlike(r'^[\p{L}_"]') & ~F.coalesce(F.col("up").isin("IF", "NOT", "EXISTS"), F.lit(False)), F.col("token"))
+    named = F.when(F.col("token").rlike(r'^[\p{L}_"]') & ~F.coalesce(F.col("up").isin("IF", "NOT", "EXISTS"), F.lit(False)), F.struct("pos", "token"))
+    whole_statement = Window.partitionBy("file_id", "statement")
     t = (
         t.withColumn("header", F.col("up").isin("FUNCTION", "PROCEDURE") & (F.coalesce(others, F.lit(0)) == 0))
         .withColumn("unit_header", F.col("up").isin("PACKAGE", "TYPE") & (F.coalesce(others, F.lit(0)) == 0))
-        .withColumn("name", F.first(named, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+        .withColumn("at", F.min(F.when(F.col("header"), F.col("pos"))).over(whole_statement))
+        .withColumn("name", F.min(F.when(F.col("pos") > F.col("at"), named)).over(whole_statement)["token"])
         .withColumn("doc", F.first("above").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
     whole = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -132,7 +139,7 @@ def description(comment: Column) -> Column:
     plain = F.regexp_replace(comment, r"\r", "")
     plain = F.regexp_replace(plain, r"(?m)^[ \t]*(?:/\*+|--+)|\*+/[ \t]*$", "")
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[\s*#=~_-]+|[\s*#=~_-]+$", "")))
-    entry = rf"(?iu)^(?:@\w+\b|[【\[]?(?:{_ENTRY})[】\]]?\s*(?:[:：]|[】\]]))"
+    entry = rf"(?iu)^(?:@\w+\b|(?:created|modified|changed|updated|written|last changed|last modified) (?:by|on|at)\b|[【\[]?(?:{_ENTRY})[】\]]?\s*(?:[:：]|[】\]]))"
     lines = F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}]") & ~x.rlike(entry))
     label = rf"(?iu)^[【\[]?(?:{_LABEL})\s*(?:[】\]]\s*[:：]?|[:：]|$)\s*"
     return F.trim(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, label, "")), " "))
@@ -157,7 +164,7 @@ def documented_functions(files: DataFrame, *, file_id: str, text: str, code: boo
     found = routines(files, file_id=file_id, text=text).withColumn("description", description(F.col("comment")))
     found = found.where(says_something(F.col("description"), F.col("routine_name"))).drop("comment")
     if code:
-        texts = files.select(F.col(file_id).alias("file_id"), F.col(text).alias("_text"))
+        texts = files.groupBy(F.col(file_id).alias("file_id")).agg(F.first(text).alias("_text"))
         part = F.array_join(F.expr("slice(split(_text, '\n'), line_start, line_end - line_start + 1)"), "\n")
         found = found.join(texts, "file_id").withColumn("code", F.when(F.col("line_end") >= F.col("line_start"), part)).drop("_text")
     return found
