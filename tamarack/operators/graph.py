@@ -34,6 +34,18 @@ def reachable(edges: DataFrame, start: DataFrame, *, a: str, b: str, node: str)
     return seen
 
 
+def lazy_closure(calls: DataFrame, refs: DataFrame, start: DataFrame, *, a: str, b: str, node: str) -> DataFrame:
+    """node and how ('call' or 'ref'): packages that a scan from ``start`` has to read.
+
+    Calls are followed transitively; packages that are only referred to come in too, without
+    what they call; one that is referred to and later called counts as called.
+    """
+    called = cut(reachable(calls, start, a=a, b=b, node=node))
+    links = refs.select(F.col(a).alias("node"), F.col(b).alias("ref")).dropna()
+    only = links.join(called, "node", "left_semi").select(F.col("ref").alias("node")).distinct().join(called, "node", "left_anti")
+    return called.select("node", F.lit("call").alias("how")).unionByName(only.select("node", F.lit("ref").alias("how")))
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame, *, node: str, a: str, b: str) -> DataFrame:
     """node and component (its smallest node): two nodes share one if each reaches the other."""
     reach = closure(edges, a=a, b=b)

@@ -170,6 +170,14 @@ def graph_reachable(s: S, d: str) -> DataFrame:
     return g.reachable(_calls(s, d), s.sql("SELECT 24 AS node"), a="a", b="b", node="node")
 
 
+@P.query(f"WITH {_REACH}, c AS (SELECT DISTINCT b AS node FROM r WHERE a = 24 UNION SELECT 24), f AS (SELECT n_nationkey AS x, (n_nationkey + 6) % 25 AS y FROM nation) SELECT node, 'call' AS how FROM c UNION ALL SELECT DISTINCT y, 'ref' FROM f WHERE x IN (SELECT node FROM c) AND y NOT IN (SELECT node FROM c)")
+def graph_lazy_closure(s: S, d: str) -> DataFrame:
+    """What a scan from an entry point has to read: called packages and those only referred to."""
+    k = F.col("n_nationkey")
+    refs = t(s, d, "nation").select(k.alias("a"), ((k + 6) % 25).alias("b"))
+    return g.lazy_closure(_calls(s, d), refs, s.sql("SELECT 24 AS node"), a="a", b="b", node="node")
+
+
 @P.query(f"WITH {_REACH} SELECT n_nationkey AS node, least(n_nationkey, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = n_nationkey), n_nationkey)) AS component FROM nation")
 def graph_strong_components(s: S, d: str) -> DataFrame:
     """Strongly connected components, named by their smallest unit."""
