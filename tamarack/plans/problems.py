@@ -73,14 +73,14 @@ _STD = "rule_type = 'LIST' AND item_id IS NOT NULL AND category_id IS NULL AND c
 
 ORACLES = {
     "p1_found": f"""
-        SELECT so_line_id, rule_id FROM (
-          SELECT l.so_line_id, r.rule_id, row_number() OVER (PARTITION BY l.so_line_id ORDER BY r.valid_from DESC, r.rule_id DESC) AS n
+        SELECT so_line_id, m[2] AS rule_id FROM (
+          SELECT l.so_line_id, max((r.valid_from, r.rule_id)) AS m
           FROM (SELECT DISTINCT so_line_id, so_id, item_id FROM t_so_line) l
           JOIN (SELECT DISTINCT so_id, order_date, price_list_id FROM t_sales_order) o ON l.so_id = o.so_id
           JOIN (SELECT DISTINCT rule_id, price_list_id, item_id, valid_from, valid_to, created_at FROM t_price_rule WHERE {_STD}) r
             ON r.price_list_id = o.price_list_id AND r.item_id = l.item_id AND r.valid_from <= o.order_date
-           AND (r.valid_to IS NULL OR r.valid_to >= o.order_date) AND CAST(r.created_at AS DATE) <= o.order_date)
-        WHERE n = 1""",
+           AND (r.valid_to IS NULL OR r.valid_to >= o.order_date) AND CAST(r.created_at AS DATE) <= o.order_date
+          GROUP BY 1)""",
     "p2_found": f"""
         WITH rec AS (
           SELECT DISTINCT 'bom' AS src, CAST(0 AS BIGINT) AS price_list_id, item_id, bom_id AS id, effective_from AS f, coalesce(effective_to, DATE '9999-12-31') AS t FROM t_bom_header
