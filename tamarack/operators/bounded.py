@@ -9,3 +9,12 @@ from pyspark.sql import functions as F
 def small(df: DataFrame, most: int = 20_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is (a shuffled join)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that takes far longer than a shuffle.
+
+    A table of fewer files than cores is dealt out again; any other stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

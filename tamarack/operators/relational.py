@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.operators.bounded import small
+from tamarack.session import cut
 
 
 class BizError(Exception):
@@ -64,10 +65,10 @@ def with_ties(df: DataFrame, order: Sequence[str], n: int, *, descending: bool =
     return df.join(F.broadcast(edge), mine >= F.col("_edge") if descending else mine <= F.col("_edge"), "left_semi")
 
 
-def fetch_percent(df: DataFrame, percent: float, *order: Column) -> DataFrame:
-    """FETCH FIRST p PERCENT ROWS ONLY: ceil(p% of the rows) in the given order."""
+def fetch_percent(df: DataFrame, percent: float, *order: Column | str) -> DataFrame:
+    """FETCH FIRST p PERCENT ROWS ONLY: ceil(p% of the rows) in the given order, numbered by range partitions."""
     n = df.count()
-    return df.orderBy(*order).limit(-int(-n * percent // 100))
+    return next_values(df, "_n", 1, *order).where(F.col("_n") <= -int(-n * percent // 100)).drop("_n")
 
 
 def densify(facts: DataFrame, keys: Sequence[str], calendar: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -116,21 +117,42 @@ def split_rejects(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame,
     return judged.where("reject_reason is null").drop("reject_reason"), judged.where("reject_reason is not null")
 
 
-def next_values(df: DataFrame, name: str, first: int, *order: str) -> DataFrame:
-    """Sequence numbers without gaps in the order of ``order`` (unique columns), from ``first`` on.
+def next_values(df: DataFrame, name: str, first: int, *order: Column | str) -> DataFrame:
+    """Sequence numbers without gaps in the order of ``order`` (unique), from ``first`` on: ROW_NUMBER() OVER (ORDER BY ...).
 
     Range-partitioned by the order: each task numbers its own rows, and the starts come from the
     counts of the partitions, of which there are as many as tasks; no global window.
     """
-    from tamarack.session import cut
-
-    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    placed = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = placed.groupBy("_p").count()
     starts = counts.withColumn("_s", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return placed.join(small(starts.select("_p", "_s")), "_p").withColumn(name, (rank + F.coalesce("_s", F.lit(0)) + F.lit(first - 1)).cast("long")).drop("_p", "_s")
 
 
+def ranked(df: DataFrame, column: str, sums: Sequence[str] = (), *, descending: bool = True) -> DataFrame:
+    """RANK, DENSE_RANK and running sums (ties share them) over the whole table: adds rank, dense_rank and cum_<name>.
+
+    Rows are reduced to one for each value before they are ordered, so that a value that a third
+    of all rows have costs one row; values are range-partitioned, each task runs over its own,
+    and what lies before it comes from one row a partition. A null value ranks first descending,
+    last ascending.
+    """
+    order = F.col("_v").desc_nulls_first() if descending else F.col("_v").asc_nulls_last()
+    values = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    placed = cut(values.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    parts = placed.groupBy("_p").agg(F.sum("_n").alias("_pn"), F.count("*").alias("_pd"), *[F.sum(f"_{c}").alias(f"_p{c}") for c in sums])
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_p", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_s{c}") for c in ["_pn", "_pd", *[f"_p{x}" for x in sums]]])
+    own = Window.partitionBy("_p").orderBy(order)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(small(parts), "_p").select(
+        "_v", (F.sum("_n").over(upto) - F.col("_n") + F.col("_s_pn") + 1).alias("rank"), (F.row_number().over(own) + F.col("_s_pd")).cast("long").alias("dense_rank"),
+        *[(F.sum(f"_{c}").over(upto) + F.col(f"_s_p{c}")).alias(f"cum_{c}") for c in sums],
+    )
+    return df.join(out, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
+
+
 def multiset(kind: str, a: DataFrame, b: DataFrame, *, distinct: bool = False) -> DataFrame:
     """MULTISET EXCEPT, INTERSECT or UNION [ALL|DISTINCT]: bags unless ``distinct``."""
     bag = {"except": DataFrame.exceptAll, "intersect": DataFrame.intersectAll, "union": DataFrame.unionByName}[kind]

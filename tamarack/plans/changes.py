@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import ora as o
 from tamarack.operators.changes import net_changes, row_changes, split_before
-from tamarack.operators.relational import fifo_take, merge_into, split_rejects
+from tamarack.operators.relational import fifo_take, merge_into, ranked, split_rejects
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 
@@ -136,7 +136,10 @@ def supplier_rank(s: S, d: str) -> DataFrame:
     """RANK, DENSE_RANK and share over aggregated rows; suppliers without rows stay."""
     x = t(s, d, "lineitem").where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum(o.exact(F.col("l_extendedprice"))).cast("double").alias("total"), F.count("*").alias("n"))
     y = t(s, d, "supplier").select("s_suppkey").join(x, "s_suppkey", "left").select("s_suppkey", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    return y.select("s_suppkey", "total", F.rank().over(Window.orderBy(F.col("total").desc())).cast("long").alias("by_total"), F.dense_rank().over(Window.orderBy(F.col("n").desc())).cast("long").alias("by_n"), F.round(100 * o.ratio_to_report(F.col("total")), 4).alias("share"))
+    by_total = ranked(y, "total").select("s_suppkey", F.col("rank").alias("by_total"))
+    by_n = ranked(y, "n").select("s_suppkey", F.col("dense_rank").alias("by_n"))
+    whole = y.agg(F.sum("total").alias("whole"))
+    return y.join(by_total, "s_suppkey").join(by_n, "s_suppkey").crossJoin(F.broadcast(whole)).select("s_suppkey", "total", "by_total", "by_n", F.round(100 * F.col("total") / F.nullif("whole", F.lit(0.0)), 4).alias("share"))
 
 
 @P.query("SELECT o_orderpriority, CASE WHEN days <= 365 THEN '1y' WHEN days <= 1095 THEN '3y' ELSE 'old' END AS age, count(*) AS n FROM (SELECT o_orderpriority, datediff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS days FROM orders) GROUP BY 1, 2")

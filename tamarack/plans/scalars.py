@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import ora as o
 from tamarack.operators.bounded import small
-from tamarack.operators.relational import is_submultiset, quantified
+from tamarack.operators.relational import is_submultiset, next_values, quantified, ranked
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 
@@ -21,12 +21,12 @@ S = SparkSession
     SELECT part_key, CAST(value AS DOUBLE) AS stock_value, round(100 * share, 4) AS value_pct, round(100 * CAST(cum AS DOUBLE) / CAST(total AS DOUBLE), 4) AS cum_pct, value_rank,
       CASE WHEN 100 * CAST(cum AS DOUBLE) / CAST(total AS DOUBLE) <= 80 THEN 'A' WHEN 100 * CAST(cum AS DOUBLE) / CAST(total AS DOUBLE) <= 95 THEN 'B' ELSE 'C' END AS abc_class FROM w""")
 def pareto_abc(s: S, d: str) -> DataFrame:
-    """Value of each part, its share, running share (ties share it), rank and ABC class. The ranking runs over one row a part."""
+    """Value of each part, its share, running share (ties share it), rank and ABC class, without a window over the whole table."""
     value = t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("part_key")).agg(F.sum(o.exact(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("value")).where("value > 0")
+    value = next_values(value, "value_rank", 1, F.col("value").desc(), F.col("part_key"))
     total = value.agg(F.sum("value").alias("total"))
-    order = Window.orderBy(F.col("value").desc())
-    w = value.crossJoin(F.broadcast(total)).withColumn("cum", F.sum("value").over(order)).withColumn("value_rank", F.row_number().over(Window.orderBy(F.col("value").desc(), "part_key")).cast("long"))
-    cum = 100 * F.col("cum").cast("double") / F.col("total").cast("double")
+    w = ranked(value, "value", ["value"]).crossJoin(F.broadcast(total))
+    cum = 100 * F.col("cum_value").cast("double") / F.col("total").cast("double")
     return w.select(
         "part_key", F.col("value").cast("double").alias("stock_value"), F.round(100 * (F.col("value").cast("double") / F.col("total").cast("double")), 4).alias("value_pct"), F.round(cum, 4).alias("cum_pct"), "value_rank",
         F.when(cum <= 80, "A").when(cum <= 95, "B").otherwise("C").alias("abc_class"),

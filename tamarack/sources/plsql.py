@@ -12,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators.bounded import spread
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
 
 _TOKEN = re.compile(
@@ -258,7 +260,7 @@ def read_facts(text: str | None) -> list[tuple]:
 
 
 def facts(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
-    """All facts of all files, in the columns of SCHEMA; one pass in Arrow batches, no shuffle."""
+    """All facts of all files, in the columns of SCHEMA; one pass in Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -267,7 +269,7 @@ def facts(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"pos": "Int32", "line_start": "Int32", "line_end": "Int32"})
 
-    return files.select(F.col(file_id).cast("long").alias("file_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    return spread(files.select(F.col(file_id).cast("long").alias("file_id"), F.col(text).alias("text"))).mapInPandas(run, SCHEMA)
 
 
 def packages(found: DataFrame) -> DataFrame:

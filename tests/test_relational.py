@@ -119,3 +119,12 @@ def test_cut_keeps_rows_and_settings(spark):
     df = cut(spark.range(5))
     assert df.count() == 5 and spark.conf.get("spark.sql.constraintPropagation.enabled") == before
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_ranks_over_a_whole_table(spark):
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else i % 7, i) for i in range(300)], "id int, v int, x long")
+    got = r.ranked(df, "v", ["x"])
+    df.createOrReplaceTempView("ranked_test")
+    want = spark.sql("SELECT id, rank() OVER (ORDER BY v DESC NULLS FIRST) AS rank, dense_rank() OVER (ORDER BY v DESC NULLS FIRST) AS dense_rank, sum(x) OVER (ORDER BY v DESC NULLS FIRST) AS cum_x FROM ranked_test")
+    assert sorted(map(tuple, got.select("id", "rank", "dense_rank", "cum_x").collect())) == sorted(map(tuple, want.collect()))
+    assert r.ranked(df.limit(0), "v", ["x"]).count() == 0
