@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.operators.bounded import spread
+
 #: Tokens: comments, strings, quoted names, line ends with following white space, words (with dots), single signs, runs of other signs.
 _TOKEN = (
     r"--[^\n]*"
@@ -50,9 +52,8 @@ def lexed(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
 
     Tokens of a repeated file lie side by side in its order; one of each is kept.
     """
-    tokens = files.where(F.col(file_id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(file_id).alias("file_id"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0))).alias("pos", "token")
-    )
+    texts = spread(files.where(F.col(file_id).isNotNull() & F.col(text).isNotNull()).select(F.col(file_id).alias("file_id"), F.col(text).alias("_text")))
+    tokens = texts.select("file_id", F.posexplode(F.regexp_extract_all("_text", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
     order = Window.partitionBy("file_id").orderBy("pos")
     lines = _newlines(F.col("token"))
     once = tokens.withColumn("before", F.lag("pos").over(order)).where("before is null or before != pos").drop("before")

@@ -9,6 +9,7 @@ from tamarack.llm.functions import documented_functions
 from tamarack.llm.mixing import mix
 from tamarack.llm.spam import spam_pages
 from tamarack.llm.tokenize import encode_corpus, token_count
+from tamarack.operators.bounded import spread
 from tamarack.session import table
 
 
@@ -28,7 +29,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, d, "documents").select("doc_id", "source", "text").where("source is not null")
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text").where("source is not null"))
     sized = documents.select("doc_id", "source", token_count(spark, F.col("text")).alias("n_tokens"))
     return mix(sized, table(spark, d, "mix_target"), doc_id="doc_id", source="source", size="n_tokens")
 

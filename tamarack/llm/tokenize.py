@@ -13,6 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.operators.bounded import spread
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -128,5 +130,9 @@ def token_count(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY)
 
 
 def encode_corpus(documents: DataFrame, *, doc_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id`` and ids of every row; repeated rows stay, other columns are ignored, no shuffle."""
-    return documents.select(F.col(doc_id).alias(doc_id), token_ids(documents.sparkSession, F.col(text), vocabulary).alias("ids"))
+    """``doc_id`` and ids of every row; repeated rows stay, other columns are ignored.
+
+    A table of fewer files than cores is dealt out first, else nothing is shuffled.
+    """
+    texts = spread(documents.select(F.col(doc_id).alias(doc_id), F.col(text).alias("_text")))
+    return texts.select(doc_id, token_ids(documents.sparkSession, F.col("_text"), vocabulary).alias("ids"))
