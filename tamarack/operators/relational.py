@@ -28,9 +28,9 @@ def exactly_one(df: DataFrame):  # noqa: ANN201
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order: an aggregate with map-side combine, not a window.
+    """The first row of each key in the given order, whole, by a window (a top-1 that Spark limits before the shuffle).
 
-    ``order`` holds plain ascending or descending columns; the caller adds a unique last one.
+    Where a few columns suffice, max or min of a struct is cheaper (``join_latest_per_key``). ``order`` holds plain ascending or descending columns; the caller adds a unique last one.
     Rows with equal order are decided by the engine. A null key is a key.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
