@@ -48,18 +48,20 @@ _DOTTED = re.compile(r"\b(?:\w\.){3,}\w\b\.?")
 _HAN = re.compile(r"[一-鿿]")
 _SIGNS = re.compile(r"\s+")
 
-#: A sentence counts as stuffed from this share of repeated content on.
-_STUFFED = 0.5
 #: Short lines without clause structure count as a list from this number on.
 _LIST_LINES = 5
 #: A line is a list from this number of items on.
 _LIST_ITEMS = 4
 #: A line with an end mark is looked at as a list from this number of items on.
 _LONG_LIST = 8
-#: Occurrences on the page from which on a substring counts as repeated.
-_REPEATED = 2
-#: Occurrences of one content word (or pair of Chinese signs) that a stuffed sentence has at least.
-_WITHIN = 3
+#: Ways in which a page is stuffed: occurrences on the page from which on a substring counts as repeated, the share of a sentence's
+#: content that repeated substrings cover, and the share of clause words (in Chinese, of clause signs) that the page has at most.
+#: Text that repeats a phrase two times is common, so that two occurrences count only where nearly all is repeated and clauses are rare.
+_REPEATED = ((3, 0.5, 0.36, 0.1), (2, 0.8, 0.28, 0.06))
+#: Links, lists and repeated content cover at least this share of a stuffed page.
+_COVERED = 0.5
+#: Sentences of fewer words and signs together are a note, which may well be sent two times.
+_NOTE = 20
 #: Words without separators or clause structure that are a list of keywords.
 _LOOSE = 9
 
@@ -172,11 +174,12 @@ def spam_share(text: str | None) -> float:
 
     The text is read line by line and sentence by sentence. Links count with their captions.
     A list of tags or keywords is a line of short items, or a run of short lines, none of which
-    has clause structure. A sentence is stuffed if one of its content words occurs three times
-    in it, and content that is repeated in the sentence and lies in repeated substrings of the
-    page (by the suffix automaton of the page's words and Chinese signs)
-    covers half of it; a paragraph is if most of its sentences are. Log lines, table rows, part lists, source code and navigation count as
-    text. Null and empty texts have a share of 0.
+    has clause structure. All other sentences of the page are judged together, by the suffix
+    automaton of their words and Chinese signs: where clause structure is missing and substrings
+    that occur three times (or nearly everywhere two times) cover half of the page, the sentences
+    that they cover are stuffed, wherever the repetitions stand; a paragraph is if most of its
+    sentences are. Log lines, table rows, part lists, source code and navigation count as text.
+    Null and empty texts have a share of 0.
     """
     if not text:
         return 0.0
@@ -216,35 +219,40 @@ def spam_share(text: str | None) -> float:
                 single.append(piece)
     if len(single) >= _LIST_LINES:
         spam += sum(map(_solid, single))
+    return (spam + _stuffed([x for x in pieces if x[2]], spam, total)) / total
+
+
+def _stuffed(pieces: list[tuple[int, str, list[str]]], spam: int, total: int) -> int:
+    """The characters of a page's stuffed sentences; ``spam`` of its ``total`` characters are links and lists."""
     tokens = [t for _, _, own in pieces for t in own]
-    if tokens:
-        dense, at = SuffixAutomaton(tokens).covered(_REPEATED), 0
-        lines: dict[int, list[int]] = {}  # stuffed and other characters of each line's sentences
-        for n, piece, own in pieces:
-            flags, at = dense[at : at + len(own)], at + len(own)
-            if own:
-                lines.setdefault(n, [0, 0])[0 if _stuffed(own, flags) else 1] += _solid(piece)
-        spam += sum(stuffed + (other if stuffed > other else 0) for stuffed, other in lines.values())
-    return spam / total
-
-
-def _stuffed(tokens: list[str], dense: list[bool]) -> bool:
-    """Whether a content word occurs often in a sentence, and repeated content that is dense on the page covers half of it."""
-    han = sum(len(t) == 1 and t >= "一" for t in tokens) * 2 > len(tokens)
-    times: dict[str, int] = {}
-    units = [a + b for a, b in zip(tokens, tokens[1:])] if han else [t if t not in _CLAUSE_WORDS and len(t) > 2 else "" for t in tokens]
-    for u in units:
-        times[u] = times.get(u, 0) + 1
-    if max((n for u, n in times.items() if u), default=0) < _WITHIN:
-        return False
-    hit = [False] * len(tokens)
-    for i, u in enumerate(units):
-        if u and times[u] > 1:
-            hit[i] = hit[i] or dense[i]
-            if han:
-                hit[i + 1] = hit[i + 1] or dense[i + 1]
-    content = sum(map(len, tokens)) if han else sum(len(t) for t in tokens if t not in _CLAUSE_WORDS)
-    return bool(content) and sum(len(t) for t, h in zip(tokens, hit) if h) >= _STUFFED * content
+    if len(tokens) < _NOTE:
+        return 0
+    automaton, clauses = SuffixAutomaton(tokens), _clauses(tokens) / len(tokens)
+    stuffed = [False] * len(pieces)
+    for times, share, most, most_signs in _REPEATED:
+        if clauses > (most_signs if _is_han(tokens) else most):
+            continue
+        dense, at, parts = automaton.covered(times), 0, []
+        for _, _, own in pieces:
+            parts.append(_repeated_share(own, dense[at : at + len(own)]))
+            at += len(own)
+        if spam + sum(part * _solid(piece) for part, (_, piece, _) in zip(parts, pieces)) >= _COVERED * total:
+            stuffed = [s or part >= share for s, part in zip(stuffed, parts)]
+    lines: dict[int, list[int]] = {}  # stuffed and other characters of each line's sentences
+    for s, (n, piece, _) in zip(stuffed, pieces):
+        lines.setdefault(n, [0, 0])[0 if s else 1] += _solid(piece)
+    return sum(one + (other if one > other else 0) for one, other in lines.values())
+
+
+def _is_han(tokens: list[str]) -> bool:
+    return sum(len(t) == 1 and t >= "一" for t in tokens) * 2 > len(tokens)
+
+
+def _repeated_share(tokens: list[str], dense: list[bool]) -> float:
+    """The share of a sentence's content that lies in repeated substrings of the page, in characters."""
+    han = _is_han(tokens)
+    sizes = [len(t) if han or t not in _CLAUSE_WORDS else 0 for t in tokens]
+    return sum(n for n, d in zip(sizes, dense) if d) / (sum(sizes) or 1)
 
 
 def spam_pages(documents: DataFrame, *, doc_id: str, text: str, share: float = 0.5) -> DataFrame:

@@ -63,3 +63,32 @@ def test_pages(spark):
 
 def test_half_is_not_more_than_half(spark):
     assert spam_share(TEXT[0] + "\n" + SPAM[0]) < 0.5 < spam_share(TEXT[5] + "\n" + SPAM[0])
+
+
+ACROSS = [
+    "Buy a cheap servo motor here. Our servo motor price is best. Find servo motor quote today. The best servo motor price. Cheap servo motor quote here. Buy servo motor today.",
+    "专业减速机厂家供应。减速机报价欢迎咨询。减速机厂家直销优惠。优质减速机报价优惠。专业减速机直销供应。减速机厂家欢迎咨询。",
+]
+
+
+@pytest.mark.parametrize("text", ACROSS)
+def test_repetition_across_sentences_counts(text):
+    assert spam_share(text) > 0.5
+
+
+def test_the_automaton_decides(monkeypatch):
+    spam = SPAM[4]
+    assert spam_share(spam) > 0.5
+    monkeypatch.setattr(SuffixAutomaton, "covered", lambda self, times: [False] * len(self.ends))
+    assert spam_share(spam) < 0.5
+    monkeypatch.setattr(SuffixAutomaton, "covered", lambda self, times: [True] * len(self.ends))
+    odd = "Bitter winter evenings bring heavy snow. Quiet rivers carry broken branches. Small boats cross narrow lakes. Old bridges need fresh paint every spring."
+    assert spam_share(odd) > 0.5
+    monkeypatch.undo()
+    assert spam_share(odd) < 0.5
+
+
+def test_a_repeated_note_is_no_spam():
+    assert spam_share("SA-68637 qty wrong???\n\nSA-68637 qty wrong???") == 0
+    phrase = "We checked the spindle and the spindle is fine because the spindle was changed before the shift, as they said to us at the time."
+    assert spam_share(phrase + "\n" + TEXT[0]) <= 0.5
