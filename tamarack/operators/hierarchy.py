@@ -112,3 +112,30 @@ def descendants(paths: DataFrame) -> DataFrame:
     """item, descendant and the smallest number of links between them, for every item above another on a path."""
     above = paths.where("depth > 0").select(F.col("item").alias("descendant"), F.posexplode(F.expr("slice(path, 1, depth)")).alias("i", "item"), "depth")
     return above.groupBy("item", "descendant").agg(F.min(F.col("depth") - F.col("i")).alias("links"))
+
+
+def all_below(links: DataFrame, *, parent: str, child: str) -> DataFrame:
+    """item, descendant and the smallest number of links between them, for every item and whatever can be reached from it.
+
+    From the links themselves, so that items on and below loops count whether or not a root
+    reaches them. An item on a loop is not its own descendant.
+
+    Doubling: after k rounds all pairs of up to 2**k links are known. A shortest way of more links
+    passes an item at exactly 2**k, so only the pairs at that distance are led on, by one join with
+    the known pairs; without such a pair nothing is left. Each round is written to the checkpoint
+    folder, and both sides of its join are plain shuffles.
+
+    Nulls: links with a null end are left out. Repeated links count once, links to itself not at
+    all. Empty input gives an empty result; other columns are ignored.
+    """
+    pairs = _distinct_links(links, parent, child).where("p != c")
+    rounds = [cut(pairs.select(F.col("p").alias("item"), F.col("c").alias("descendant"), F.lit(1).alias("links")))]
+    for k in range(_ROUNDS):
+        far = rounds[-1].where(F.col("links") == 2**k)
+        if far.isEmpty():
+            break
+        known = _union(rounds)
+        lower = known.select(F.col("item").alias("via"), F.col("descendant").alias("d"), F.col("links").alias("n"))
+        led_on = far.join(lower, F.col("descendant") == F.col("via")).where("item != d").groupBy("item", F.col("d").alias("descendant")).agg(F.min(F.col("links") + F.col("n")).alias("links"))
+        rounds.append(cut(led_on.join(known.select("item", "descendant"), ["item", "descendant"], "left_anti")))
+    return _union(rounds)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.operators.asof import as_of_join
-from tamarack.operators.hierarchy import descendants, hierarchy
+from tamarack.operators.hierarchy import all_below, hierarchy
 from tamarack.operators.intervals import periods_and_gaps
 from tamarack.operators.units import ALIASES, NUMBER_WORDS, PHRASES, to_base_units
 from tamarack.session import table
@@ -35,24 +35,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out.where("kind = 'gap' or n_records > 1").select("src", "price_list_id", "item_id", "kind", written("first_day").alias("date_from"), written("last_day").alias("date_to"))
 
 
-def _bom(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _bom(spark: SparkSession, d: str) -> DataFrame:
     headers = table(spark, d, "t_bom_header").select("bom_id", "item_id").distinct()
     lines = table(spark, d, "t_bom_line").select("bom_id", "component_item_id")
-    return hierarchy(headers.join(lines, "bom_id"), parent="item_id", child="component_item_id")
+    return headers.join(lines, "bom_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every path from a root item through the bills of material, and every item on a loop."""
-    paths, cycles = _bom(spark, d)
+    paths, cycles = hierarchy(_bom(spark, d), parent="item_id", child="component_item_id")
     rows = paths.select(F.lit("path").alias("kind"), F.col("root").alias("root_item_id"), F.col("item").alias("item_id"), "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
     loops = cycles.select(F.lit("cycle").alias("kind"), F.col("root").alias("root_item_id"), F.col("item").alias("item_id"), F.lit(-1).alias("depth"), F.lit("").alias("path"))
     return rows.unionByName(loops)
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Everything below every item, with the smallest number of links."""
-    paths, _ = _bom(spark, d)
-    return descendants(paths).select(F.col("item").alias("item_id"), F.col("descendant").alias("descendant_item_id"), "links")
+    """Everything below every item, on loops too, with the smallest number of links."""
+    return all_below(_bom(spark, d), parent="item_id", child="component_item_id").select(F.col("item").alias("item_id"), F.col("descendant").alias("descendant_item_id"), "links")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """Paths and loops by pointer doubling against depth-first search, and the defined cases."""
 
+import os
+
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 
 from tamarack.operators import connect_by as c
 from tamarack.operators import graph as g
-from tamarack.operators.hierarchy import components, descendants, hierarchy
+from tamarack.operators.hierarchy import all_below, components, descendants, hierarchy
 from tamarack.operators.relational import BizError
+from tamarack.plans.problems import p3_descendants
+
+DATA = "/root/testdata/sf0.001"
 
 
 def run(spark, links):
@@ -74,6 +79,41 @@ def test_descendants(spark):
     assert sorted(tuple(r) for r in descendants(paths).collect()) == [(1, 2, 1), (1, 3, 1), (2, 3, 1)]
 
 
+def below(links):
+    near = {}
+    for a, b in links:
+        if a is not None and b is not None:
+            near.setdefault(a, set()).add(b)
+    out = set()
+    for a in near:
+        seen, front, n = {a}, {a}, 0
+        while front := {y for x in front for y in near.get(x, ())} - seen:
+            seen, n = seen | front, n + 1
+            out |= {(a, x, n) for x in front}
+    return out
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(1, 9)), st.integers(1, 9)), max_size=13))
+@example([(8, 9), (9, 8), (9, 5)])
+@example([(1, 2), (2, 3), (3, 2), (7, 7), (1, 2)])
+@example([(i, i + 1) for i in range(21)] + [(20, 0), (3, 9)])
+@example([])
+def test_all_below_is_plain_reachability(spark, links):
+    got = all_below(spark.createDataFrame([(a, b, 0) for a, b in links], "up long, down long, item long"), parent="up", child="down").collect()
+    assert len(got) == len(below(links)) and {tuple(r) for r in got} == below(links)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_p3_descendants_is_plain_reachability(spark):
+    headers = {}
+    for r in spark.read.parquet(f"{DATA}/t_bom_header.parquet").collect():
+        headers.setdefault(r["bom_id"], set()).add(r["item_id"])
+    links = {(a, r["component_item_id"]) for r in spark.read.parquet(f"{DATA}/t_bom_line.parquet").collect() for a in headers.get(r["bom_id"], ())}
+    got = p3_descendants(spark, DATA).collect()
+    assert len(got) == len(below(links)) and {tuple(r) for r in got} == below(links)
+
+
 def test_components(spark):
     got = components(spark.createDataFrame([(1, 2), (2, 3), (9, 8), (None, 4), (5, 5)], "a long, b long"), "a", "b")
     assert {r["node"]: r["label"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 5: 5}
