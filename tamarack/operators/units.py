@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,17 +48,19 @@ CONTAINERS = "bags bag sacks sack rolls roll reels reel drums drum cans can pack
 _NUM = r"\d+\s*/\s*\d+|\d[\d.,]*|[½¼¾半十百千万]|(?:half|one|two|hundred|thousand|mille|hundert|tausend|cien|mil)(?=\s)"
 _CONT = "|".join(sorted(set(CONTAINERS.split()), key=len, reverse=True))
 _UNIT = r"\p{L}[^/@()=;]*?"
+#: Any spelling of a unit: a clause of a text has to name one, else the next clause is read.
+_KNOWN = "|".join(re.escape(x) for x in sorted({x for words in ALIASES.values() for x in words.split()} | {x for phrases in PHRASES.values() for x in phrases}, key=lambda x: (-len(x), x)))
 #: A field: an optional container, a number, a unit, an optional container. Groups: number, unit.
 FIELD = rf"^(?:每?\s*(?:{_CONT})\s*(?:of\s|@|\(|=|:)?\s*)?(?:x|per\s|每)?\s*({_NUM})?\s*({_UNIT})\s*\)?\s*(?:(?:/|\sper\s)\s*(?:{_CONT}))?$"
 _END = r"(?=\s*(?:$|;|,\s))"
-#: A clause of a text that states a content or a unit after a cue. Groups: number, unit.
+#: The first clause of a text that states a content in a known unit, or such a unit, after a cue. Groups: number, unit.
 CUED = (
     rf"(?:^|[;,]\s*)(?:contents?|pack size|inhalt|contenido|规格|含量|quantity stated in|quantity in|qty in|all figures(?: in(?=\s))?|supplier counts|uom|unit|"
     rf"mengenangabe|menge in|mengeneinheit|cantidad en|unidad|单位|数量以|按|每\s*(?:{_CONT})|\d+\s*(?:{_CONT})\s*=|each\s+(?:{_CONT})\s+(?:holds|contains))"
-    rf"\s*[:=]?\s*({_NUM})?\s*({_UNIT})(?:\s+here|计|下单)?{_END}"
+    rf"\s*[:=]?\s*({_NUM})?\s*({_KNOWN})(?:\s+here|计|下单)?{_END}"
 )
-#: A clause of a text that states a content by container. Groups: number, unit.
-BY_CONTAINER = rf"(?:^|[;,]\s*)({_NUM})\s*({_UNIT})\s*(?:per\s|/)\s*(?:{_CONT}){_END}"
+#: The first clause of a text that states a content in a known unit by container. Groups: number, unit.
+BY_CONTAINER = rf"(?:^|[;,]\s*)({_NUM})\s*({_KNOWN})\s*(?:per\s|/)\s*(?:{_CONT}){_END}"
 
 
 def tidy(text: Column) -> Column:
@@ -137,7 +141,8 @@ def to_base_units(
     """``line_id``, qty_e4 and base_qty_e4: the quantity as written and in the item's base unit, times 10,000.
 
     Number and unit are taken out of the unit field and out of the note by regular expressions,
-    spellings become standard units by a join with a constant table, and the first known of field
+    spellings become standard units by a join with a constant table; of a note, the first clause that
+    names a known unit after a cue counts, else the first by container. The first known of field
     unit, note unit and ``default_unit`` holds; a stated size multiplies the quantity. Factor and
     offset lead through a common unit, in exact integers, rounded half up (away from zero).
 

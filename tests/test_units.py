@@ -36,6 +36,12 @@ def test_readings(spark):
         assert got.get(i) == exact, case
 
 
+def test_later_clauses_of_a_note_count(spark):
+    cases = [((2, 2, "LOT", "unit price agreed; content 25 kg"), 50), ((1, 2, None, "unit price agreed, UoM=DZ"), 24), ((1, 2, "bag", "按时交货; 10 ea per bag"), 20), ((1, 2, "bag", "content as agreed; pack size: 5 pcs, content 6 pcs"), 10), ((1, 2, "bag", "unit price agreed"), None)]
+    got = run(spark, [c for c, _ in cases])
+    assert [got.get(i) for i in range(len(cases))] == [None if want is None else want * 10000 for _, want in cases]
+
+
 def test_rounds_half_up_away_from_zero(spark):
     got = run(spark, [(5, "0.0001", "x", None)] and [(3, "0.0050", "CM", None), (3, "-0.0050", "CM", None), (3, "0.0049", "CM", None)])
     assert got == {0: 1, 1: -1, 2: 0}
