@@ -105,11 +105,10 @@ ORACLES = {
     "p3_descendants": """
         WITH RECURSIVE link AS (SELECT DISTINCT h.item_id AS p, l.component_item_id AS c FROM t_bom_header h JOIN t_bom_line l ON h.bom_id = l.bom_id),
         walk AS (
-          SELECT DISTINCT p AS item, [p] AS path FROM link WHERE p NOT IN (SELECT c FROM link)
+          SELECT p AS item_id, c AS descendant_item_id, [p, c] AS path FROM link WHERE p <> c
           UNION ALL
-          SELECT k.c, list_append(w.path, k.c) FROM walk w JOIN link k ON w.item = k.p WHERE NOT list_contains(w.path, k.c)),
-        pairs AS (SELECT item, path, unnest(range(1, len(path))) AS i FROM walk)
-        SELECT path[i] AS item_id, item AS descendant_item_id, min(CAST(len(path) - i AS INTEGER)) AS links FROM pairs GROUP BY 1, 2""",
+          SELECT w.item_id, k.c, list_append(w.path, k.c) FROM walk w JOIN link k ON w.descendant_item_id = k.p WHERE NOT list_contains(w.path, k.c))
+        SELECT item_id, descendant_item_id, min(CAST(len(path) - 1 AS INTEGER)) AS links FROM walk GROUP BY 1, 2""",
 }
 
 _NAMES = ", ".join(f"('{w}', '{u}')" for u, words in ALIASES.items() for w in [*words.split(), *PHRASES.get(u, [])])
