@@ -92,3 +92,25 @@ def test_a_repeated_note_is_no_spam():
     assert spam_share("SA-68637 qty wrong???\n\nSA-68637 qty wrong???") == 0
     phrase = "We checked the spindle and the spindle is fine because the spindle was changed before the shift, as they said to us at the time."
     assert spam_share(phrase + "\n" + TEXT[0]) <= 0.5
+
+
+def test_nothing_is_spam_without_the_automaton(monkeypatch):
+    monkeypatch.setattr(SuffixAutomaton, "covered", lambda self, times: [False] * len(self.ends))
+    assert [spam_share(x) for x in SPAM + ACROSS] == [0.0] * len(SPAM + ACROSS)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab", max_size=14), st.integers(2, 4))
+def test_short_repetitions_do_not_count(text, least):
+    want = [False] * len(text)
+    for i in range(len(text)):
+        for j in range(i + least, len(text) + 1):
+            if sum(text.startswith(text[i:j], k) for k in range(len(text))) >= 2:
+                want[i:j] = [True] * (j - i)
+    assert SuffixAutomaton(list(text), least).covered(2) == want
+
+
+def test_lists_by_shape():
+    assert spam_share("See our page: www.werk.example/a and tell us what you think of it, please.") == 0
+    assert spam_share("1. gear 12: www.werk.example/a\n2. relay best - https://b.example/c\n3. shaft (new!) http://d.example/e/f.html") == 1
+    assert spam_share("The planner asked for gloves, screws, nuts, washers and oil, because the shelf was empty.") <= 0.5
