@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators.relational import BizError
 from tamarack.session import cut
 
 #: Doubling rounds: enough for paths of 2**40 links, far more than there can be rows.
@@ -60,6 +61,8 @@ def hierarchy(links: DataFrame, *, parent: str, child: str) -> tuple[DataFrame,
         rounds.append(cut(joined))
         done.append(rounds[-1].where("done and not loop"))
         open_ = rounds[-1].where("not done and not loop")
+    else:
+        raise BizError("TOO_DEEP", f"paths of more than 2**{_ROUNDS} links")
     paths = _union(done).select(F.col("top").alias("root"), F.col("bottom").alias("item"), (F.size("path") - 1).alias("depth"), "path")
     paths = paths.unionByName(roots.select("root", F.col("root").alias("item"), F.lit(0).alias("depth"), F.array("root").alias("path")))
     return paths, _loops(pairs, _union([r.where("loop").select("path") for r in rounds[1:]]) if len(rounds) > 1 else None)
@@ -138,4 +141,6 @@ def all_below(links: DataFrame, *, parent: str, child: str) -> DataFrame:
         lower = known.select(F.col("item").alias("via"), F.col("descendant").alias("d"), F.col("links").alias("n"))
         led_on = far.join(lower, F.col("descendant") == F.col("via")).where("item != d").groupBy("item", F.col("d").alias("descendant")).agg(F.min(F.col("links") + F.col("n")).alias("links"))
         rounds.append(cut(led_on.join(known.select("item", "descendant"), ["item", "descendant"], "left_anti")))
+    else:
+        raise BizError("TOO_DEEP", f"ways of more than 2**{_ROUNDS} links")
     return _union(rounds)

@@ -87,6 +87,9 @@ def merge_into(target: DataFrame, source: DataFrame, keys: Sequence[str], *, upd
     go where ``delete_where`` holds after the update; rows of ``source`` without match are
     inserted where ``insert_where`` holds. A source that has a key twice raises, as the result
     would not be defined. Keys match by equality: a null key never matches.
+
+    A left join of the target and an anti join of the source, so that a small source is
+    broadcast and the target is not shuffled for it.
     """
     if not source.groupBy(*keys).count().where("count > 1").dropna(subset=list(keys)).isEmpty():
         raise BizError("UNSTABLE_ROWS", "a key occurs twice in the source")
@@ -95,19 +98,19 @@ def merge_into(target: DataFrame, source: DataFrame, keys: Sequence[str], *, upd
     for k in keys:
         same = F.col(f"t.{k}") == F.col(f"s.{k}")
         on = same if on is None else on & same
-    joined = t.withColumn("_t", F.lit(True)).alias("t").join(s, on, "full")
-    both, new = F.col("t._t").isNotNull() & F.col("s._s").isNotNull(), F.col("t._t").isNull()
+    both = F.col("s._s").isNotNull()
     hit = both & (F.coalesce(update_where, F.lit(False)) if update_where is not None else F.lit(True))
-    cols = []
-    for c in target.columns:
-        changed = (update or {}).get(c)
-        value = F.when(new, F.col(f"s.{c}") if c in source.columns else F.lit(None))
-        if changed is not None:
-            value = value.when(hit, changed)
-        cols.append(value.otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c))
-    keep_new = ~new | (F.coalesce(insert_where, F.lit(False)) if insert_where is not None else F.lit(True))
-    out = joined.where(keep_new).select(*cols, hit.alias("_hit"))
-    return (out.where(~(F.col("_hit") & F.coalesce(delete_where, F.lit(False)))) if delete_where is not None else out).drop("_hit")
+    kinds = {c: target.schema[c].dataType for c in target.columns}
+    values = {c: F.when(hit, (update or {})[c]).otherwise(F.col(f"t.{c}")) if c in (update or {}) else F.col(f"t.{c}") for c in target.columns}
+    kept = t.join(s, on, "left").select(*[v.cast(kinds[c]).alias(c) for c, v in values.items()], hit.alias("_hit"))
+    if delete_where is not None:
+        kept = kept.where(~(F.col("_hit") & F.coalesce(delete_where, F.lit(False))))
+    matched = target.select(*keys).alias("t").join(source.select(*keys).alias("s"), on, "left_semi")
+    new = source.join(matched.distinct(), list(keys), "left_anti").alias("s")
+    if insert_where is not None:
+        new = new.where(F.coalesce(insert_where, F.lit(False)))
+    added = new.select(*[(F.col(f"s.{c}") if c in source.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in target.columns])
+    return kept.drop("_hit").unionByName(added)
 
 
 def split_rejects(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -121,13 +124,40 @@ def next_values(df: DataFrame, name: str, first: int, *order: Column | str) -> D
     """Sequence numbers without gaps in the order of ``order`` (unique), from ``first`` on: ROW_NUMBER() OVER (ORDER BY ...).
 
     Range-partitioned by the order: each task numbers its own rows, and the starts come from the
-    counts of the partitions, of which there are as many as tasks; no global window.
+    counts of the partitions, of which there are as many as tasks; no global window. These
+    counts, one row a task, are broadcast.
     """
     placed = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = placed.groupBy("_p").count()
     starts = counts.withColumn("_s", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return placed.join(small(starts.select("_p", "_s")), "_p").withColumn(name, (rank + F.coalesce("_s", F.lit(0)) + F.lit(first - 1)).cast("long")).drop("_p", "_s")
+    return placed.join(F.broadcast(starts.select("_p", "_s")), "_p").withColumn(name, (rank + F.coalesce("_s", F.lit(0)) + F.lit(first - 1)).cast("long")).drop("_p", "_s")
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], *, position: str | None = None) -> DataFrame:
+    """Running sums within each key in the order of ``order`` (unique): SUM(x) OVER (PARTITION BY keys ORDER BY order).
+
+    Adds the columns of ``sums`` (new name to summed column) and with ``position`` the row
+    number. A key that holds a third of all rows is not one task: rows are range-partitioned by
+    keys and order, each task runs over its own rows, and what earlier tasks hold of a key comes
+    from one row for each task's first and last key, at most two a task, which are broadcast.
+    A null key is a key, null values count as 0, an empty table gives none.
+    """
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    key = F.struct(*[F.col(k) for k in keys])
+    ends = placed.groupBy("_p").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).select(F.col("_p").alias("_ep"), F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_k"))
+    parts = placed.join(F.broadcast(ends), (F.col("_p") == F.col("_ep")) & key.eqNullSafe(F.col("_k")), "left_semi")
+    names = {f"_sum{i}": c for i, c in enumerate(sums.values())}
+    parts = parts.groupBy("_p", key.alias("_k")).agg(F.count("*").alias("_n"), *[F.sum(c).alias(n) for n, c in names.items()])
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(F.col("_p").alias("_ep"), "_k", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_c{c}") for c in ["_n", *names]])
+    own = Window.partitionBy("_p", *keys).orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(carry), (F.col("_p") == F.col("_ep")) & key.eqNullSafe(F.col("_k")), "left")
+    added = {new: F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(upto), F.lit(0)) + F.coalesce(f"_c{n}", F.lit(0)) for (n, c), new in zip(names.items(), sums)}
+    if position:
+        added[position] = (F.row_number().over(own) + F.coalesce("_c_n", F.lit(0))).cast("long")
+    return out.withColumns(added).drop("_p", "_ep", "_k", *[f"_c{c}" for c in ["_n", *names]])
 
 
 def ranked(df: DataFrame, column: str, sums: Sequence[str] = (), *, descending: bool = True) -> DataFrame:
@@ -146,7 +176,7 @@ def ranked(df: DataFrame, column: str, sums: Sequence[str] = (), *, descending:
     parts = parts.select("_p", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_s{c}") for c in ["_pn", "_pd", *[f"_p{x}" for x in sums]]])
     own = Window.partitionBy("_p").orderBy(order)
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(small(parts), "_p").select(
+    out = placed.join(F.broadcast(parts), "_p").select(
         "_v", (F.sum("_n").over(upto) - F.col("_n") + F.col("_s_pn") + 1).alias("rank"), (F.row_number().over(own) + F.col("_s_pd")).cast("long").alias("dense_rank"),
         *[(F.sum(f"_{c}").over(upto) + F.col(f"_s_p{c}")).alias(f"cum_{c}") for c in sums],
     )
@@ -170,20 +200,21 @@ def is_submultiset(inner: Column, outer: Column) -> Column:
 def quantified(df: DataFrame, value: Column, op: str, kind: str, subquery: DataFrame) -> DataFrame:
     """Rows for which ``value op ANY|ALL (subquery of one column)`` holds.
 
-    Comparisons reduce to the smallest and largest value and the presence of nulls, one row;
-    equality to a semi or anti join.
+    Comparisons reduce to the smallest and largest value and the presence of nulls, scalar
+    subqueries of one row; equality to a semi or anti join.
     """
     (c,) = subquery.columns
+    q = subquery.select(F.col(c).alias("_q"))
     if (op, kind) == ("=", "ANY"):
-        return df.join(subquery.select(F.col(c).alias("_q")), value == F.col("_q"), "left_semi")
+        return df.join(q, value == F.col("_q"), "left_semi")
+    count, known = q.agg(F.count("*")).scalar(), q.agg(F.count("_q")).scalar()
     if (op, kind) == ("<>", "ALL"):
-        q = subquery.select(F.col(c).alias("_q"))
-        return df.join(q, value.isNull() | F.col("_q").isNull() | (value == F.col("_q")), "left_anti")
-    ops = {"<": lambda x, lo, hi: x < (lo if kind == "ALL" else hi), "<=": lambda x, lo, hi: x <= (lo if kind == "ALL" else hi), ">": lambda x, lo, hi: x > (hi if kind == "ALL" else lo), ">=": lambda x, lo, hi: x >= (hi if kind == "ALL" else lo)}
-    edges = subquery.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count("*").alias("_n"), F.count(c).alias("_set"))
-    holds = ops[op](value, F.col("_lo"), F.col("_hi"))
-    keep_ = holds & (F.col("_n") == F.col("_set")) | (F.col("_n") == 0) if kind == "ALL" else holds
-    return df.join(F.broadcast(edges), how="cross").where(keep_).drop("_lo", "_hi", "_n", "_set")
+        return df.join(q.dropna(), value == F.col("_q"), "left_anti").where((count == 0) | ((count == known) & value.isNotNull()))
+    if (op, kind) not in {(x, y) for x in ("<", "<=", ">", ">=") for y in ("ANY", "ALL")}:
+        raise NotImplementedError(f"{op} {kind}")
+    edge = q.agg((F.max if (op in {">", ">="}) == (kind == "ALL") else F.min)("_q")).scalar()
+    holds = {"<": value < edge, "<=": value <= edge, ">": value > edge, ">=": value >= edge}[op]
+    return df.where((holds & (count == known)) | (count == 0) if kind == "ALL" else holds)
 
 
 def dynamic_pivot(df: DataFrame, keys: Sequence[str], column: str, value: Column, *, prefix: str = "", none: str = "NONE", most: int = 10_000) -> DataFrame:
@@ -210,10 +241,11 @@ def fifo_take(lots: DataFrame, needs: DataFrame, keys: Sequence[str], order: Seq
     """FIFO issue without a cursor: what each lot gives to its key's need.
 
     take = greatest(0, least(available, need - what earlier lots hold)). Lots that give nothing
-    are left out. Returns the lots with cum_available and take.
+    are left out. Returns the lots with cum_available and take. ``order`` is unique within a
+    key; sums run by ``running``, so that a hot key is not one task. Lots with a null key take
+    nothing, a null quantity counts as 0.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cum = lots.withColumn("cum_available", F.sum(available).over(w))
-    need = F.col(needed)
-    take = F.greatest(F.lit(0).cast("decimal(18,4)"), F.least(F.col(available), need - (F.col("cum_available") - F.col(available))))
+    cum = running(lots, keys, order, {"cum_available": available})
+    have = F.coalesce(F.col(available), F.lit(0))
+    take = F.greatest(F.lit(0).cast("decimal(18,4)"), F.least(have, F.col(needed) - (F.col("cum_available") - have)))
     return cum.join(needs, list(keys)).withColumn("take", take).where("take > 0")

@@ -15,14 +15,14 @@ P = Plans()
 S = SparkSession
 
 #: Regions above nations above customers, as one edge table: id, up.
-_TREE = "SELECT 'R' || r_regionkey AS id, 'TOP' AS up FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer WHERE c_acctbal > 9000"
+_TREE = "SELECT 'R' || r_regionkey AS id, 'TOP' AS up FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer"
 
 
 def _tree(s: S, d: str) -> DataFrame:
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     r = t(s, d, "region").select(text("R", "r_regionkey").alias("id"), F.lit("TOP").alias("up"))
     n = t(s, d, "nation").select(text("N", "n_nationkey").alias("id"), text("R", "n_regionkey").alias("up"))
-    c = t(s, d, "customer").where("c_acctbal > 9000").select(text("C", "c_custkey").alias("id"), text("N", "c_nationkey").alias("up"))
+    c = t(s, d, "customer").select(text("C", "c_custkey").alias("id"), text("N", "c_nationkey").alias("up"))
     return r.unionByName(n).unionByName(c)
 
 
@@ -46,52 +46,14 @@ def order_siblings(s: S, d: str) -> DataFrame:
     return x.select("item", "level", h.sibling_order(F.col("path"), 12).alias("sort_key"))
 
 
-_PARTS = "SELECT p_partkey AS parent, p_partkey * 2 AS child, 1.0 + p_size % 3 AS qty FROM part WHERE p_partkey BETWEEN 1 AND {n} UNION ALL SELECT p_partkey, p_partkey * 2 + 1, 1.0 + p_size % 2 FROM part WHERE p_partkey BETWEEN 1 AND {n} UNION ALL SELECT p_partkey, p_partkey * 2 + 3, 0.5 FROM part WHERE p_partkey BETWEEN 1 AND {n} AND p_partkey % 5 = 0"
-
-
-def _parts(s: S, d: str, n: int) -> DataFrame:
-    p = t(s, d, "part").where(F.col("p_partkey").between(1, n)).select(F.col("p_partkey").alias("parent"), "p_size")
-    a = p.select("parent", (F.col("parent") * 2).alias("child"), (1.0 + F.col("p_size") % 3).alias("qty"))
-    b = p.select("parent", (F.col("parent") * 2 + 1).alias("child"), (1.0 + F.col("p_size") % 2).alias("qty"))
-    c = p.where("parent % 5 = 0").select("parent", (F.col("parent") * 2 + 3).alias("child"), F.lit(0.5).alias("qty"))
-    return a.unionByName(b).unionByName(c)
-
-
-@P.query(f"""
-    WITH RECURSIVE e AS ({_PARTS.format(n=60)}), w AS (SELECT CAST(1 AS BIGINT) AS item, 1 AS level, CAST(1.0 AS DOUBLE) AS cum, '1' AS path UNION ALL SELECT e.child, w.level + 1, w.cum * CAST(e.qty AS DOUBLE), w.path || '/' || e.child FROM w JOIN e ON e.parent = w.item)
-    SELECT item, level, round(cum, 6) AS cum_qty, path FROM w""")
-def bom_explosion(s: S, d: str) -> DataFrame:
-    """Explosion with quantities multiplied along the path, rounded at the end only."""
-    e = _parts(s, d, 60)
-    x = h.connect_by(e, s.range(1, 2).select("id"), parent="parent", child="child", root="id", carry={"cum": (F.lit(1.0), F.col("up_cum") * F.col("qty"))})
-    return x.select("item", "level", F.round("cum", 6).alias("cum_qty"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
-
-
-@P.query(f"""
-    WITH RECURSIVE e AS ({_PARTS.format(n=60)}), w AS (SELECT CAST(100 AS BIGINT) AS item, 1 AS level, '100' AS path UNION ALL SELECT e.parent, w.level + 1, w.path || '<-' || e.parent FROM w JOIN e ON e.child = w.item)
-    SELECT item, level, path, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.child = w.item) THEN 0 ELSE 1 END AS is_top FROM w""")
-def where_used(s: S, d: str) -> DataFrame:
-    """The walk up: everything that an item is used in."""
-    x = h.connect_by(_parts(s, d, 60), s.range(100, 101).select("id"), parent="child", child="parent", root="id")
-    return x.select("item", "level", F.array_join(F.col("path").cast("array<string>"), "<-").alias("path"), F.col("is_leaf").alias("is_top"))
-
-
 @P.query("""
-    WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 10 AS b FROM nation WHERE n_nationkey < 10), w AS (SELECT a AS item, 1 AS level, [a] AS path FROM e WHERE a = 0 UNION ALL SELECT e.b, w.level + 1, list_append(w.path, e.b) FROM w JOIN e ON e.a = w.item WHERE NOT list_contains(w.path, e.b))
-    SELECT item, level, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.a = w.item AND NOT list_contains(w.path, e.b)) THEN 0 ELSE 1 END AS is_leaf FROM w""")
+    WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation), w AS (SELECT a AS item, 1 AS level, [a] AS path, a AS root FROM e UNION ALL SELECT e.b, w.level + 1, list_append(w.path, e.b), w.root FROM w JOIN e ON e.a = w.item WHERE NOT list_contains(w.path, e.b))
+    SELECT root, item, level, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.a = w.item AND NOT list_contains(w.path, e.b)) THEN 0 ELSE 1 END AS is_leaf, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.a = w.item AND list_contains(w.path, e.b)) THEN 1 ELSE 0 END AS is_cycle FROM w""")
 def connect_by_nocycle(s: S, d: str) -> DataFrame:
-    """NOCYCLE: the walk turns back where it would enter an item again."""
+    """NOCYCLE: the walk turns back where it would enter an item again; CONNECT_BY_ISCYCLE."""
     k = F.col("n_nationkey")
-    e = t(s, d, "nation").where(k < 10).select(k.alias("a"), ((k * 3 + 1) % 10).alias("b"))
-    return h.connect_by(e, e.where("a = 0").select("a"), parent="a", child="b", root="a").select("item", "level", "is_leaf")
-
-
-@P.query(f"""
-    WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM ({_PARTS.format(n=500)})), w AS (SELECT DISTINCT parent AS item, 0 AS l FROM e WHERE parent NOT IN (SELECT child FROM e) UNION SELECT e.child, w.l + 1 FROM w JOIN e ON e.parent = w.item)
-    SELECT item, max(l) AS llc FROM w GROUP BY 1""")
-def low_level_codes(s: S, d: str) -> DataFrame:
-    """The deepest level at which each item occurs."""
-    return h.low_level_codes(_parts(s, d, 500), parent="parent", child="child")
+    e = t(s, d, "nation").select(k.alias("a"), ((k * 3 + 1) % 25).alias("b"))
+    return h.connect_by(e, e.select("a"), parent="a", child="b", root="a").select("root", "item", "level", "is_leaf", "is_cycle")
 
 
 @P.query("""
@@ -101,17 +63,6 @@ def recursive_with(s: S, d: str) -> DataFrame:  # noqa: ARG001
     return s.sql("WITH RECURSIVE x(lvl, n) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT lvl + 1, n * 2 FROM x WHERE lvl < 12) SELECT lvl, n FROM x")
 
 
-@P.query("""
-    WITH RECURSIVE e AS (SELECT p_partkey AS parent, p_partkey * 2 AS child, 2.0 AS qty FROM part WHERE p_partkey BETWEEN 1 AND 100 UNION ALL SELECT p_partkey, p_partkey * 2 + 1, 1.5 FROM part WHERE p_partkey BETWEEN 1 AND 100),
-    w AS (SELECT child AS item, child AS top, CAST(1.0 AS DOUBLE) AS cum FROM e WHERE child NOT IN (SELECT parent FROM e) UNION ALL SELECT w.item, e.parent, w.cum * CAST(e.qty AS DOUBLE) FROM w JOIN e ON e.child = w.top)
-    SELECT top AS item, round(sum(cum * coalesce(p_retailprice, 0)), 2) AS value FROM w LEFT JOIN part ON p_partkey = item GROUP BY 1""")
-def rolled_cost(s: S, d: str) -> DataFrame:
-    """Costs rolled up bottom-up, each node once, rounded at every node."""
-    p = t(s, d, "part").where(F.col("p_partkey").between(1, 100)).select(F.col("p_partkey").alias("parent"))
-    e = p.select("parent", (F.col("parent") * 2).alias("child"), F.lit(2.0).alias("qty")).unionByName(p.select("parent", (F.col("parent") * 2 + 1).alias("child"), F.lit(1.5).alias("qty")))
-    x = h.rolled_up(e, t(s, d, "part"), parent="parent", child="child", quantity="qty", item="p_partkey", value="p_retailprice")
-    return x.select("item", F.round("value", 2).alias("value"))
-
 
 def _monthly(s: S, d: str) -> DataFrame:
     x = t(s, d, "orders").where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")

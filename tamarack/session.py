@@ -18,7 +18,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where neither that setting nor an
-    earlier call has given one (local runs, tests) a temporary folder is made.
+    earlier call has given one, and the session runs in one process (local runs, tests), a
+    temporary folder is made; on a cluster, where executors would not share it, that raises.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -26,6 +27,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         _OWN_CHECKPOINTS.append(tempfile.TemporaryDirectory(prefix="tamarack-checkpoint-"))
         named = _OWN_CHECKPOINTS[-1].name
     context.setCheckpointDir(named)

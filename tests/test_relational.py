@@ -128,3 +128,53 @@ def test_ranks_over_a_whole_table(spark):
     want = spark.sql("SELECT id, rank() OVER (ORDER BY v DESC NULLS FIRST) AS rank, dense_rank() OVER (ORDER BY v DESC NULLS FIRST) AS dense_rank, sum(x) OVER (ORDER BY v DESC NULLS FIRST) AS cum_x FROM ranked_test")
     assert sorted(map(tuple, got.select("id", "rank", "dense_rank", "cum_x").collect())) == sorted(map(tuple, want.collect()))
     assert r.ranked(df.limit(0), "v", ["x"]).count() == 0
+
+
+@pytest.fixture
+def many_tasks(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.9])
+def test_running_sums_of_hot_keys(spark, many_tasks, hot):
+    df = spark.range(3000).select(F.when(F.rand(5) < hot, F.lit(7)).when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.col("id") % 9).alias("k"), F.hash("id").alias("o"), "id", F.when(F.col("id") % 7 > 0, F.col("id")).alias("x"))
+    df = cut(df)
+    df.createOrReplaceTempView("running_test")
+    want = spark.sql("SELECT id, sum(coalesce(x, 0)) OVER w AS s, row_number() OVER w AS n FROM running_test WINDOW w AS (PARTITION BY k ORDER BY o, id ROWS UNBOUNDED PRECEDING)")
+    got = r.running(df, ["k"], ["o", "id"], {"s": "x"}, position="n")
+    assert sorted(map(tuple, got.select("id", "s", "n").collect())) == sorted(map(tuple, want.collect()))
+    assert r.running(df.limit(0), ["k"], ["o"], {"s": "x"}).count() == 0
+
+
+def test_a_hot_key_is_more_than_one_task(spark, many_tasks):
+    df = cut(spark.range(4000).select(F.lit(1).alias("k"), "id", F.lit(1).alias("x")).repartition(4))
+    got = r.running(df, ["k"], ["id"], {"s": "x"})
+    assert got.where("s != id + 1").isEmpty()
+    placed = df.repartitionByRange("k", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(placed) > 1 and max(x["count"] for x in placed) < 4000
+
+
+def test_fifo_of_a_hot_key(spark, many_tasks):
+    lots = spark.range(1, 1001).select(F.when(F.col("id") % 10 > 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("lot"), F.lit(2).cast("decimal(18,4)").alias("avail"))
+    needs = spark.createDataFrame([(1, 701)], "k long, need int").select("k", F.col("need").cast("decimal(18,4)").alias("need"))
+    got = r.fifo_take(lots, needs, ["k"], ["lot"], "avail", "need").collect()
+    assert sum(x["take"] for x in got) == 701 and len(got) == 351 and max(x["lot"] for x in got) == [i for i in range(1, 1001) if i % 10][350]
+
+
+def test_no_nested_loop_for_quantified(spark):
+    df, q = spark.range(3), spark.range(2).select("id")
+    for op, kind in (("<>", "ALL"), (">", "ALL"), ("<", "ANY"), ("=", "ANY")):
+        assert "NestedLoop" not in r.quantified(df, F.col("id"), op, kind, q)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(NotImplementedError):
+        r.quantified(df, F.col("id"), "=", "ALL", q)
+
+
+def test_small_goes_by_bytes(spark):
+    from tamarack.operators.bounded import small
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    wide = cut(spark.range(3).select("id", F.repeat(F.lit("x"), 100_000).alias("t")))
+    assert hinted(small(spark.range(3).toDF("a"))) and not hinted(small(wide, 200_000))
