@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a table is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: How far an estimate may be wrong.
+_MARGIN = 16
 #: Rows that a measurement reads at most.
 _ROWS = 200_000
 
@@ -14,10 +16,10 @@ _ROWS = 200_000
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` bytes, else as it is (a shuffled join).
 
-    The optimizer's estimate, which is an upper bound for scans, filters and aggregates, decides
-    without a job. Only where it is larger the rows are measured, by one pass that stops early.
+    The optimizer's estimate decides without a job where it is far below (files may be packed
+    and texts longer than it assumes); else the rows are measured, by one pass that stops early.
     """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * _MARGIN <= most:
         return F.broadcast(df)
     size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     n, total = df.limit(_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
