@@ -177,4 +177,4 @@ def test_small_goes_by_bytes(spark):
 
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     wide = cut(spark.range(3).select("id", F.repeat(F.lit("x"), 100_000).alias("t")))
-    assert hinted(small(spark.range(3).toDF("a"))) and not hinted(small(wide, 1_000)) and hinted(small(wide))
+    assert hinted(small(spark.range(3).toDF("a"), 500)) and not hinted(small(wide, 500)) and hinted(small(wide))
