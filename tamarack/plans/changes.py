@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import ora as o
 from tamarack.operators.changes import net_changes, row_changes, split_before
-from tamarack.operators.relational import fifo_take, merge_into, ranked, split_rejects
+from tamarack.operators.inventory import issue, receive, transfers
+from tamarack.operators.relational import merge_into, ranked, running, split_rejects, with_ties
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 
@@ -16,14 +17,15 @@ S = SparkSession
 
 
 @P.query("""
-    WITH src AS (SELECT s_suppkey * 2 AS k, s_acctbal AS v FROM supplier)
+    WITH src AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN -s_suppkey ELSE s_suppkey * 2 END AS k, s_acctbal AS v FROM supplier)
     SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN c_custkey IS NULL THEN v WHEN k IS NOT NULL AND v > 0 THEN round(c_acctbal + v, 4) ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey IS NULL THEN NULL ELSE c_mktsegment END AS c_mktsegment
-    FROM (SELECT * FROM customer WHERE c_custkey < 100) c FULL JOIN src ON c_custkey = k
+    FROM customer c FULL JOIN src ON c_custkey = k
     WHERE NOT (c_custkey IS NOT NULL AND k IS NOT NULL AND v > 0 AND c_acctbal + v > 12000) AND NOT (c_custkey IS NULL AND v < 1000)""")
 def merge_upsert(s: S, d: str) -> DataFrame:
     """MERGE with conditional update, delete and insert."""
-    target = t(s, d, "customer").where("c_custkey < 100").select("c_custkey", "c_acctbal", "c_mktsegment")
-    source = t(s, d, "supplier").select((F.col("s_suppkey") * 2).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    target = t(s, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    key = F.when(F.col("s_suppkey") % 3 == 0, -F.col("s_suppkey")).otherwise(F.col("s_suppkey") * 2)
+    source = t(s, d, "supplier").select(key.alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
     return merge_into(
         target, source, ["c_custkey"], update={"c_acctbal": F.round(F.col("t.c_acctbal") + F.col("s.c_acctbal"), 4)}, update_where=F.col("s.c_acctbal") > 0, delete_where=F.col("c_acctbal") > 12000, insert_where=F.col("s.c_acctbal") >= 1000
     )
@@ -56,56 +58,116 @@ def insert_all(s: S, d: str) -> DataFrame:
     return t(s, d, "orders").select(F.explode(F.filter(targets, lambda x: x.isNotNull())).alias("target"), "o_orderkey")
 
 
-@P.query("SELECT CASE WHEN l_quantity < 5 THEN 'qty' WHEN l_discount > 0.09 THEN 'discount' END AS reject_reason, count(*) AS n FROM lineitem GROUP BY 1")
+@P.query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 'qty' WHEN l_discount > 0.09 THEN 'discount' END AS reject_reason FROM lineitem")
 def bulk_rejects(s: S, d: str) -> DataFrame:
     """FORALL SAVE EXCEPTIONS and LOG ERRORS: rows that keep the rules, and the others with the rule they break."""
-    good, bad = split_rejects(t(s, d, "lineitem").select("l_quantity", "l_discount"), {"qty": F.col("l_quantity") >= 5, "discount": F.col("l_discount") <= 0.09})
-    return good.groupBy(F.lit(None).cast("string").alias("reject_reason")).agg(F.count("*").alias("n")).unionByName(bad.groupBy("reject_reason").agg(F.count("*").alias("n")))
+    good, bad = split_rejects(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), {"qty": F.col("l_quantity") >= 5, "discount": F.col("l_discount") <= 0.09})
+    shown = ["l_orderkey", "l_linenumber", "reject_reason"]
+    return good.withColumn("reject_reason", F.lit(None).cast("string")).select(*shown).unionByName(bad.select(*shown))
 
 
-@P.query("SELECT l_returnflag, CASE WHEN l_shipdate < TIMESTAMP '1999-01-01' THEN strftime(l_shipdate, '%Y%m') END AS archive_month, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@P.query("SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < TIMESTAMP '1999-01-01' THEN strftime(l_shipdate, '%Y%m') END AS archive_month FROM lineitem")
 def archive_split(s: S, d: str) -> DataFrame:
     """Rows moved to monthly archives and rows that stay."""
-    kept, gone = split_before(t(s, d, "lineitem").select("l_returnflag", F.col("l_shipdate").cast("date").alias("day")), "day", "1999-01-01")
-    return kept.withColumn("archive_month", F.lit(None).cast("string")).unionByName(gone).groupBy("l_returnflag", "archive_month").agg(F.count("*").alias("n"))
+    kept, gone = split_before(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day")), "day", "1999-01-01")
+    return kept.withColumn("archive_month", F.lit(None).cast("string")).unionByName(gone).drop("day")
 
 
-_LOTS = "SELECT p_partkey AS part, o_orderkey AS lot, CAST(o_orderdate AS DATE) AS received, CAST(o_custkey % 40 + 1 AS DECIMAL(18,4)) AS avail, CAST(o_totalprice AS DECIMAL(18,4)) AS cost FROM orders JOIN part ON p_partkey = o_orderkey % 500"
+#: Purchase lines as lots: item, lot, day of receipt, quantity in stock, unit cost.
+_LOTS = """SELECT item_id, lot, received, avail, cost FROM (SELECT DISTINCT po_line_id AS lot, item_id, coalesce(need_date, DATE '2020-01-01') AS received, qty_received AS avail, unit_price AS cost FROM t_po_line WHERE item_id IS NOT NULL) WHERE avail > 0"""
 
 
 def _lots(s: S, d: str) -> DataFrame:
-    x = t(s, d, "orders").select((F.col("o_orderkey") % 500).alias("part"), F.col("o_orderkey").alias("lot"), F.col("o_orderdate").cast("date").alias("received"), (F.col("o_custkey") % 40 + 1).cast("decimal(18,4)").alias("avail"), o.exact(F.col("o_totalprice")).alias("cost"))
-    return x.join(t(s, d, "part").select(F.col("p_partkey").alias("part")), "part")
+    day = F.coalesce(F.col("need_date"), F.lit("2020-01-01").cast("date"))
+    x = t(s, d, "t_po_line").where("item_id is not null and qty_received > 0")
+    return x.select("item_id", F.col("po_line_id").alias("lot"), day.alias("received"), F.col("qty_received").alias("avail"), F.col("unit_price").alias("cost")).distinct()
 
 
-@P.query(f"SELECT part, lot, row_number() OVER w AS layer, CAST(sum(avail) OVER w AS DOUBLE) AS cum_qty, CAST(round(sum(CAST(avail AS DOUBLE) * CAST(cost AS DOUBLE)) OVER w, 2) AS DOUBLE) AS cum_amount FROM ({_LOTS}) WINDOW w AS (PARTITION BY part ORDER BY received, lot ROWS UNBOUNDED PRECEDING)")
+@P.query(f"SELECT item_id, lot, row_number() OVER w AS layer, CAST(sum(avail) OVER w * 10000 AS BIGINT) AS cum_qty_e4, CAST(floor(sum(CAST(avail AS DECIMAL(19,4)) * CAST(cost AS DECIMAL(19,6))) OVER w * 100) AS BIGINT) AS cum_cents FROM ({_LOTS}) WINDOW w AS (PARTITION BY item_id ORDER BY received, lot ROWS UNBOUNDED PRECEDING)")
 def fifo_layers(s: S, d: str) -> DataFrame:
     """Lots in order of receipt with running quantity and amount."""
-    w = Window.partitionBy("part").orderBy("received", "lot").rowsBetween(Window.unboundedPreceding, 0)
-    rn = F.row_number().over(Window.partitionBy("part").orderBy("received", "lot")).cast("long")
-    return _lots(s, d).select("part", "lot", rn.alias("layer"), F.sum("avail").over(w).cast("double").alias("cum_qty"), F.round(F.sum(F.col("avail").cast("double") * F.col("cost").cast("double")).over(w), 2).alias("cum_amount"))
+    x = _lots(s, d).withColumn("amount", F.col("avail").cast("decimal(18,4)") * F.col("cost").cast("decimal(16,6)"))
+    x = running(x, ["item_id"], ["received", "lot"], {"cum_qty": "avail", "cum_amount": "amount"}, position="layer")
+    return x.select("item_id", "lot", "layer", (F.col("cum_qty") * 10_000).cast("long").alias("cum_qty_e4"), F.floor(F.col("cum_amount") * 100).cast("long").alias("cum_cents"))
 
 
-@P.query(f"WITH l AS (SELECT *, sum(avail) OVER (PARTITION BY part ORDER BY received, lot ROWS UNBOUNDED PRECEDING) AS cum FROM ({_LOTS})), n AS (SELECT p_partkey AS part, CAST(p_size * 5 AS DECIMAL(18,4)) AS need FROM part) SELECT part, lot, CAST(greatest(0, least(avail, need - (cum - avail))) AS DOUBLE) AS take FROM l JOIN n USING (part) WHERE greatest(0, least(avail, need - (cum - avail))) > 0")
+_NEEDS = "SELECT item_id, CAST(sum(qty_ordered) AS DECIMAL(18,4)) AS need FROM (SELECT DISTINCT so_line_id, item_id, qty_ordered FROM t_so_line) WHERE item_id IS NOT NULL GROUP BY 1"
+
+
+def _needs(s: S, d: str) -> DataFrame:
+    lines = t(s, d, "t_so_line").where("item_id is not null").select("so_line_id", "item_id", "qty_ordered").distinct()
+    return lines.groupBy("item_id").agg(F.sum("qty_ordered").cast("decimal(18,4)").alias("need"))
+
+
+@P.query(f"""
+    WITH l AS (SELECT *, sum(avail) OVER (PARTITION BY item_id ORDER BY received, lot ROWS UNBOUNDED PRECEDING) AS cum, sum(avail) OVER (PARTITION BY item_id) AS stock FROM ({_LOTS})), x AS (SELECT *, greatest(0, least(avail, need - (cum - avail))) AS take FROM l JOIN ({_NEEDS}) USING (item_id) WHERE stock >= need)
+    SELECT item_id, lot, CAST(take AS DOUBLE) AS take, CAST(avail - take AS DOUBLE) AS lot_left, CASE WHEN avail = take THEN 'CONSUMED' ELSE 'AVAILABLE' END AS status, CAST(stock - (cum - avail) AS DOUBLE) AS qty_before, CAST(stock - (cum - avail) - take AS DOUBLE) AS qty_after FROM x WHERE take > 0""")
 def fifo_issue(s: S, d: str) -> DataFrame:
-    """What each lot gives to its part's need, first in first out, without a cursor."""
-    need = t(s, d, "part").select(F.col("p_partkey").alias("part"), (F.col("p_size") * 5).cast("decimal(18,4)").alias("need"))
-    return fifo_take(_lots(s, d), need, ["part"], ["received", "lot"], "avail", "need").select("part", "lot", F.col("take").cast("double").alias("take"))
+    """What each lot gives to its item's need, first in first out, with stock before and after; short items give nothing."""
+    issued, _ = issue(_lots(s, d), _needs(s, d), ["item_id"], ["received", "lot"], available="avail", needed="need")
+    shown = {c: F.col(c).cast("double") for c in ("take", "lot_left", "qty_before", "qty_after")}
+    return issued.withColumns(shown).select("item_id", "lot", "take", "lot_left", "status", "qty_before", "qty_after")
 
 
-@P.query(f"SELECT part, round(sum(CAST(avail AS DOUBLE) * CAST(cost AS DOUBLE)) / sum(CAST(avail AS DOUBLE)), 4) AS avg_cost, CAST(sum(avail) AS DOUBLE) AS qty FROM ({_LOTS}) GROUP BY 1")
+@P.query(f"SELECT n.item_id, CAST(need AS DOUBLE) AS need, CAST(coalesce(stock, 0) AS DOUBLE) AS stock FROM ({_NEEDS}) n LEFT JOIN (SELECT item_id, sum(avail) AS stock FROM ({_LOTS}) GROUP BY 1) USING (item_id) WHERE need > coalesce(stock, 0)")
+def short_stock(s: S, d: str) -> DataFrame:
+    """The needs that stock does not cover."""
+    _, short = issue(_lots(s, d), _needs(s, d), ["item_id"], ["received", "lot"], available="avail", needed="need")
+    return short.select("item_id", F.col("need").cast("double").alias("need"), F.col("stock").cast("double").alias("stock"))
+
+
+@P.query(f"""
+    WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY received, lot) AS k FROM ({_LOTS})),
+    w AS (SELECT item_id, lot, k, CAST(avail AS DOUBLE) AS q, CAST(cost AS DOUBLE) AS c FROM r WHERE k = 1
+      UNION ALL SELECT r.item_id, r.lot, r.k, w.q + CAST(r.avail AS DOUBLE), round((w.q * w.c + CAST(r.avail AS DOUBLE) * CAST(r.cost AS DOUBLE)) / (w.q + CAST(r.avail AS DOUBLE)), 6) FROM w JOIN r ON r.item_id = w.item_id AND r.k = w.k + 1)
+    SELECT item_id, lot, round(q, 4) AS qty_after, c AS avg_cost FROM w""")
 def moving_average_cost(s: S, d: str) -> DataFrame:
-    """Average cost after all receipts."""
-    a, c = F.col("avail").cast("double"), F.col("cost").cast("double")
-    return _lots(s, d).groupBy("part").agg(F.round(F.sum(a * c) / F.sum(a), 4).alias("avg_cost"), F.sum("avail").cast("double").alias("qty"))
+    """The moving average cost after each receipt, rounded at each: the fold that a receipt routine makes."""
+    x = receive(_lots(s, d), ["item_id"], ["received", "lot"], quantity="avail", cost="cost")
+    return x.select("item_id", "lot", F.round(F.col("qty_after").cast("double"), 4).alias("qty_after"), "avg_cost")
+
+
+@P.query(f"""
+    WITH l AS (SELECT item_id, sum(avail) AS q, sum(CAST(avail AS DECIMAL(19,4)) * CAST(cost AS DECIMAL(19,6))) AS v FROM ({_LOTS}) GROUP BY 1), i AS (SELECT DISTINCT item_id, valuation_method, std_cost FROM t_item)
+    SELECT item_id, valuation_method, CAST(q AS DOUBLE) AS qty, round(CASE WHEN valuation_method = 'STD' THEN CAST(q AS DOUBLE) * CAST(std_cost AS DOUBLE) ELSE CAST(v AS DOUBLE) END, 4) AS value FROM l JOIN i USING (item_id)""")
+def inventory_value(s: S, d: str) -> DataFrame:
+    """Stock valued at standard cost or at the cost of its lots, as the item says."""
+    lots = _lots(s, d).groupBy("item_id").agg(F.sum("avail").alias("q"), F.sum(F.col("avail").cast("decimal(18,4)") * F.col("cost").cast("decimal(16,6)")).alias("v"))
+    items = t(s, d, "t_item").select("item_id", "valuation_method", "std_cost").distinct()
+    value = F.when(F.col("valuation_method") == "STD", F.col("q").cast("double") * F.col("std_cost").cast("double")).otherwise(F.col("v").cast("double"))
+    return lots.join(items, "item_id").select("item_id", "valuation_method", F.col("q").cast("double").alias("qty"), F.round(value, 4).alias("value"))
 
 
-@P.query("""SELECT l_partkey, o, CAST(sum(q) OVER (PARTITION BY l_partkey ORDER BY day, o ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS on_hand, CAST(lag(0, 1, 0) OVER (ORDER BY o) AS INTEGER) AS zero FROM (SELECT l_partkey, l_orderkey AS o, min(l_shipdate) AS day, sum(CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END AS DECIMAL(18,4))) AS q FROM lineitem GROUP BY 1, 2)""")
+#: Movements: receipts in, shipments out, half of each receipt moved to a second place.
+_MOVES = f"""SELECT item_id, 1 AS place, lot AS doc, 1 AS leg, received AS day, avail AS qty FROM ({_LOTS})
+      UNION ALL SELECT item_id, 1, lot, 2, received, -floor(avail / 2) FROM ({_LOTS}) UNION ALL SELECT item_id, 2, lot, 2, received, floor(avail / 2) FROM ({_LOTS})"""
+
+
+def _moves(s: S, d: str) -> DataFrame:
+    x = _lots(s, d).select("item_id", F.lit(1).alias("place"), F.col("lot").alias("doc"), F.lit(1).alias("leg"), F.col("received").alias("day"), F.col("avail").alias("qty"))
+    out = x.select("item_id", F.lit(1).alias("from_place"), F.lit(2).alias("to_place"), "doc", "day", F.floor(F.col("qty") / 2).cast("decimal(18,4)").alias("qty"))
+    return x.unionByName(transfers(out, quantity="qty", from_place="from_place", to_place="to_place", place="place").withColumn("leg", F.lit(2)))
+
+
+@P.query(f"SELECT item_id, place, doc, leg, CAST((sum(qty) OVER w - qty) * 10000 AS BIGINT) AS before_e4, CAST(sum(qty) OVER w * 10000 AS BIGINT) AS after_e4 FROM ({_MOVES}) WINDOW w AS (PARTITION BY item_id, place ORDER BY day, doc, leg ROWS UNBOUNDED PRECEDING)")
 def running_ledger(s: S, d: str) -> DataFrame:
-    """Stock on hand from an ordered ledger."""
-    q = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
-    x = t(s, d, "lineitem").groupBy("l_partkey", F.col("l_orderkey").alias("o")).agg(F.min("l_shipdate").alias("day"), F.sum(o.exact(q)).alias("q"))
-    return x.select("l_partkey", "o", F.sum("q").over(Window.partitionBy("l_partkey").orderBy("day", "o").rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("on_hand"), F.lit(0).alias("zero"))
+    """Stock before and after every movement of an ordered ledger, transfers as two legs."""
+    x = running(_moves(s, d), ["item_id", "place"], ["day", "doc", "leg"], {"after": "qty"})
+    return x.select("item_id", "place", "doc", "leg", ((F.col("after") - F.col("qty")) * 10_000).cast("long").alias("before_e4"), (F.col("after") * 10_000).cast("long").alias("after_e4"))
+
+
+@P.query(f"SELECT item_id, place, CAST(sum(qty) * 10000 AS BIGINT) AS on_hand_e4, max(day) AS last_day, count(*) AS version FROM ({_MOVES}) GROUP BY 1, 2")
+def synced_balance(s: S, d: str) -> DataFrame:
+    """Balances rebuilt from their ledger."""
+    x = _moves(s, d).groupBy("item_id", "place").agg((F.sum("qty") * 10_000).cast("long").alias("on_hand_e4"), F.max("day").alias("last_day"), F.count("*").alias("version"))
+    return x
+
+
+@P.query(f"SELECT item_id, need, rank() OVER (ORDER BY need DESC) AS place FROM (SELECT item_id, CAST(need AS DOUBLE) AS need FROM ({_NEEDS})) QUALIFY rank() OVER (ORDER BY need DESC) <= 20")
+def top_consumed(s: S, d: str) -> DataFrame:
+    """The twenty items consumed most, ties included."""
+    top = with_ties(_needs(s, d), ["need"], 20, descending=True)
+    return ranked(top, "need").select("item_id", F.col("need").cast("double").alias("need"), F.col("rank").alias("place"))
 
 
 @P.query("""WITH n AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 15 = 0 THEN NULL WHEN c_custkey % 25 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer)
