@@ -47,32 +47,81 @@ def lazy_closure(calls: DataFrame, refs: DataFrame, start: DataFrame, *, a: str,
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, *, node: str, a: str, b: str) -> DataFrame:
-    """node and component (its smallest node): two nodes share one if each reaches the other."""
-    reach = closure(edges, a=a, b=b)
-    mutual = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).select(F.col("a").alias("node"), F.col("b").alias("other"))
-    own = nodes.select(F.col(node).alias("node"), F.col(node).alias("other"))
-    return own.unionByName(mutual).groupBy("node").agg(F.min("other").alias("component"))
+    """node and component (its smallest node): two nodes share one if each reaches the other.
+
+    Nodes without a way in or out are trimmed off, then every node takes the smallest node that
+    reaches it as its colour; what walks back to that node within its colour is its component.
+    Components found are taken out and the rest is coloured anew. Every step is a join of the
+    links with the nodes that changed; reachable pairs are never built. Links with a null end
+    are left out, as are ends that are no node; null nodes too.
+    """
+    every = nodes.select(F.col(node).alias("node")).dropna().distinct()
+    links = _trimmed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct())
+    found = None
+    while not links.isEmpty():
+        colour = _coloured(links)
+        own = links.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b")
+        inside = cut(own.where("ca = cb").select("a", "b"))
+        front = cut(colour.where("node = colour"))
+        seen = front
+        while not front.isEmpty():
+            back = front.join(inside, F.col("node") == F.col("b")).select(F.col("a").alias("node"), "colour").distinct()
+            front = cut(back.join(seen, "node", "left_anti"))
+            seen = seen.unionByName(front)
+        seen = cut(seen)
+        found = seen if found is None else found.unionByName(seen)
+        gone = seen.select("node")
+        links = _trimmed(links.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti"))
+    if found is None:
+        return every.withColumn("component", F.col("node"))
+    return every.join(found, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
+
+
+def _trimmed(links: DataFrame) -> DataFrame:
+    """The links whose ends all have a way in and a way out, again and again."""
+    links = cut(links)
+    n = links.count()
+    while n:
+        links = cut(links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        now = links.count()
+        if now == n:
+            break
+        n = now
+    return links
+
+
+def _coloured(links: DataFrame) -> DataFrame:
+    """node and colour, the smallest node that reaches it or itself; only what changed in a round is led on."""
+    colour = cut(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().withColumn("colour", F.col("node")))
+    front = colour
+    while not front.isEmpty():
+        offered = front.join(links, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("offer"))
+        merged = cut(colour.join(offered, "node", "left").select("node", F.least("colour", "offer").alias("colour"), (F.col("offer") < F.col("colour")).alias("_new")))
+        colour, front = merged.select("node", "colour"), merged.where("_new").select("node", "colour")
+    return colour
 
 
 def layers(nodes: DataFrame, edges: DataFrame, *, node: str, a: str, b: str) -> DataFrame:
     """node, component and layer: components that depend on nothing else are 0, others one above their highest dependency.
 
-    An edge a, b says that a depends on b. Members of a component share a layer.
+    An edge a, b says that a depends on b. Members of a component share a layer. A component is
+    placed when all that it depends on is; a round joins only what the round before placed.
     """
     parts = cut(strong_components(nodes, edges, node=node, a=a, b=b))
     up = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     down = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     links = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).join(up, "a").join(down, "b").where("ca != cb").select("ca", "cb").distinct())
-    front = cut(parts.select(F.col("component").alias("c")).distinct())
+    state = cut(links.groupBy(F.col("ca").alias("c")).agg(F.count("*").alias("open")))
+    front = cut(parts.select(F.col("component").alias("c")).distinct().join(state, "c", "left_anti"))
     level, n = front.withColumn("layer", F.lit(0)), 0
-    while True:
+    while not front.isEmpty():
         n += 1
-        front = cut(links.join(front, F.col("cb") == F.col("c")).select(F.col("ca").alias("c")).distinct())
-        if front.isEmpty():
-            break
+        met = links.join(front, F.col("cb") == F.col("c")).groupBy(F.col("ca").alias("c")).agg(F.count("*").alias("met"))
+        state = cut(state.join(met, "c", "left").select("c", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
+        front = state.where("open = 0").select("c")
+        state = state.where("open > 0")
         level = level.unionByName(front.withColumn("layer", F.lit(n)))
-    best = level.groupBy("c").agg(F.max("layer").alias("layer"))
-    return parts.join(best, F.col("component") == F.col("c")).select("node", "component", "layer")
+    return parts.join(level, F.col("component") == F.col("c")).select("node", "component", "layer")
 
 
 def owners(units: DataFrame, calls: DataFrame, *, unit: str, kind: str, package: str, caller: str, callee: str) -> DataFrame:

@@ -183,6 +183,17 @@ def ranked(df: DataFrame, column: str, sums: Sequence[str] = (), *, descending:
     return df.join(out, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
+def sampled(df: DataFrame, keys: Sequence[str], percent: float, seed: int) -> DataFrame:
+    """SAMPLE (percent) SEED (seed): the rows whose keys hash below the bound; rows with equal keys come or go together (SAMPLE BLOCK).
+
+    The choice hangs on keys and seed alone: it is the same on every run, partitioning and retry.
+    Null keys hash as empty text. 0 percent gives none, 100 all.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    place = F.conv(F.substring(F.md5(F.concat(text, F.lit(f"#{seed}"))), 1, 8), 16, 10).cast("long")
+    return df.where(place < F.lit(percent / 100 * 2**32))
+
+
 def multiset(kind: str, a: DataFrame, b: DataFrame, *, distinct: bool = False) -> DataFrame:
     """MULTISET EXCEPT, INTERSECT or UNION [ALL|DISTINCT]: bags unless ``distinct``."""
     bag = {"except": DataFrame.exceptAll, "intersect": DataFrame.intersectAll, "union": DataFrame.unionByName}[kind]

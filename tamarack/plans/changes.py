@@ -211,11 +211,11 @@ def aging_buckets(s: S, d: str) -> DataFrame:
     return t(s, d, "orders").groupBy("o_orderpriority", F.when(days <= 365, "1y").when(days <= 1095, "3y").otherwise("old").alias("age")).agg(F.count("*").alias("n"))
 
 
-@P.query("SELECT n_regionkey, n_nationkey, (n_regionkey + 1) * 1000 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) * 10 AS line_no FROM nation")
+@P.query("SELECT so_id, so_line_id, row_number() OVER (PARTITION BY so_id ORDER BY so_line_id) * 10 AS line_no FROM (SELECT DISTINCT so_id, so_line_id FROM t_so_line)")
 def grouped_lines(s: S, d: str) -> DataFrame:
-    """Header and line numbers of documents made from grouped rows."""
-    rn = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
-    return t(s, d, "nation").select("n_regionkey", "n_nationkey", ((F.col("n_regionkey") + 1) * 1000 + rn * 10).cast("long").alias("line_no"))
+    """Line numbers of documents made from grouped rows."""
+    x = running(t(s, d, "t_so_line").select("so_id", "so_line_id").distinct(), ["so_id"], ["so_line_id"], {}, position="n")
+    return x.select("so_id", "so_line_id", (F.col("n") * 10).alias("line_no"))
 
 
 @P.query("""SELECT c_nationkey, m, qty, round(ape, 4) AS ape, round(avg(ape) OVER (PARTITION BY c_nationkey ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mape3, round((qty - lag(qty) OVER (PARTITION BY c_nationkey ORDER BY m)) / nullif(lag(qty) OVER (PARTITION BY c_nationkey ORDER BY m), 0), 4) AS growth

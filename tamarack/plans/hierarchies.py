@@ -98,81 +98,84 @@ def model_trend(s: S, d: str) -> DataFrame:
     return iterate(_monthly(s, d), ["c_nationkey"], "n", "qty", anchor=-1, window=4, ahead=6, rule=trend(3))
 
 
-# Graphs of calls
+# Graphs: items and what their bills use, loops included
 
-_CALLS = "SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation WHERE n_nationkey % 3 <> 0 UNION SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey > 4"
-_REACH = f"RECURSIVE e AS ({_CALLS}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"
+_CALLS = "SELECT DISTINCT h.item_id AS a, l.component_item_id AS b FROM t_bom_header h JOIN t_bom_line l ON l.bom_id = h.bom_id"
+_REACH = f"RECURSIVE e AS MATERIALIZED ({_CALLS}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"
+_FROM_TOP = "c AS (SELECT DISTINCT item_id AS node FROM t_item WHERE item_type = 'FG' UNION SELECT e.b FROM c JOIN e ON e.a = c.node)"
 
 
-def _calls(s: S, d: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    return t(s, d, "nation").where(k % 3 != 0).select(k.alias("a"), ((k * 7 + 3) % 25).alias("b")).unionByName(t(s, d, "nation").where(k > 4).select(k.alias("a"), F.col("n_regionkey").alias("b"))).distinct()
+def _calls(s: S, d: str, where: str = "true") -> DataFrame:
+    bills = t(s, d, "t_bom_header").where(where).select("bom_id", F.col("item_id").alias("a"))
+    return bills.join(t(s, d, "t_bom_line").select("bom_id", F.col("component_item_id").alias("b")), "bom_id").select("a", "b").distinct()
+
+
+def _top(s: S, d: str) -> DataFrame:
+    return t(s, d, "t_item").where("item_type = 'FG'").select(F.col("item_id").alias("node")).distinct()
 
 
 @P.query(f"WITH {_REACH} SELECT a, b FROM r")
 def graph_closure(s: S, d: str) -> DataFrame:
-    """All pairs of units with a path between them."""
+    """All pairs of items with a way between them."""
     return g.closure(_calls(s, d), a="a", b="b")
 
 
-@P.query(f"WITH {_REACH} SELECT DISTINCT b AS node FROM r WHERE a = 24 UNION SELECT 24")
+@P.query(f"WITH RECURSIVE e AS MATERIALIZED ({_CALLS}), {_FROM_TOP} SELECT node FROM c")
 def graph_reachable(s: S, d: str) -> DataFrame:
-    """The scope of an entry point."""
-    return g.reachable(_calls(s, d), s.sql("SELECT 24 AS node"), a="a", b="b", node="node")
+    """The scope of entry points."""
+    return g.reachable(_calls(s, d), _top(s, d), a="a", b="b", node="node")
 
 
-@P.query(f"WITH {_REACH}, c AS (SELECT DISTINCT b AS node FROM r WHERE a = 24 UNION SELECT 24), f AS (SELECT n_nationkey AS x, (n_nationkey + 6) % 25 AS y FROM nation) SELECT node, 'call' AS how FROM c UNION ALL SELECT DISTINCT y, 'ref' FROM f WHERE x IN (SELECT node FROM c) AND y NOT IN (SELECT node FROM c)")
+@P.query(f"""WITH RECURSIVE e AS MATERIALIZED ({_CALLS} WHERE h.status = 'ACTIVE'), f AS MATERIALIZED ({_CALLS} WHERE h.status <> 'ACTIVE'), {_FROM_TOP}
+    SELECT node, 'call' AS how FROM c UNION ALL SELECT DISTINCT b, 'ref' FROM f WHERE a IN (SELECT node FROM c) AND b NOT IN (SELECT node FROM c)""")
 def graph_lazy_closure(s: S, d: str) -> DataFrame:
-    """What a scan from an entry point has to read: called packages and those only referred to."""
-    k = F.col("n_nationkey")
-    refs = t(s, d, "nation").select(k.alias("a"), ((k + 6) % 25).alias("b"))
-    return g.lazy_closure(_calls(s, d), refs, s.sql("SELECT 24 AS node"), a="a", b="b", node="node")
+    """What a scan from entry points has to read: what is called, and what is only referred to."""
+    return g.lazy_closure(_calls(s, d, "status = 'ACTIVE'"), _calls(s, d, "status <> 'ACTIVE'"), _top(s, d), a="a", b="b", node="node")
+
 
+_PARTS = f"{_REACH}, n AS (SELECT DISTINCT item_id AS node FROM t_item), m AS MATERIALIZED (SELECT x.a AS node, min(x.b) AS b FROM r x WHERE EXISTS (SELECT 1 FROM r y WHERE y.a = x.b AND y.b = x.a) GROUP BY 1), c AS MATERIALIZED (SELECT node, coalesce(b, node) AS component FROM n LEFT JOIN m USING (node))"
 
-@P.query(f"WITH {_REACH} SELECT n_nationkey AS node, least(n_nationkey, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = n_nationkey), n_nationkey)) AS component FROM nation")
+
+@P.query(f"WITH {_PARTS} SELECT node, component FROM c")
 def graph_strong_components(s: S, d: str) -> DataFrame:
-    """Strongly connected components, named by their smallest unit."""
-    return g.strong_components(t(s, d, "nation"), _calls(s, d), node="n_nationkey", a="a", b="b")
+    """Strongly connected components, named by their smallest item."""
+    return g.strong_components(t(s, d, "t_item"), _calls(s, d), node="item_id", a="a", b="b")
 
 
 @P.query(f"""
-    WITH {_REACH}, c AS (SELECT n_nationkey AS node, least(n_nationkey, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = n_nationkey), n_nationkey)) AS component FROM nation),
-    l AS (SELECT DISTINCT x.component AS ca, y.component AS cb FROM e JOIN c x ON x.node = e.a JOIN c y ON y.node = e.b WHERE x.component <> y.component),
+    WITH {_PARTS}, l AS MATERIALIZED (SELECT DISTINCT x.component AS ca, y.component AS cb FROM e JOIN c x ON x.node = e.a JOIN c y ON y.node = e.b WHERE x.component <> y.component),
     w AS (SELECT DISTINCT component AS c, 0 AS layer FROM c UNION SELECT l.ca, w.layer + 1 FROM w JOIN l ON l.cb = w.c)
-    SELECT node, component, (SELECT max(layer) FROM w WHERE w.c = component) AS layer FROM c""")
+    SELECT node, component, layer FROM c JOIN (SELECT c AS component, max(layer) AS layer FROM w GROUP BY 1) USING (component)""")
 def graph_layers(s: S, d: str) -> DataFrame:
-    """Dependency layers: callees first, members of a component together."""
-    return g.layers(t(s, d, "nation"), _calls(s, d), node="n_nationkey", a="a", b="b")
+    """Dependency layers: what is used first, members of a component together."""
+    return g.layers(t(s, d, "t_item"), _calls(s, d), node="item_id", a="a", b="b")
 
 
-@P.query("""
-    WITH u AS (SELECT n_nationkey AS id, n_name AS unit, CASE WHEN n_nationkey % 3 = 0 THEN 'PROCEDURE' ELSE 'FUNCTION' END AS kind, n_regionkey AS pkg FROM nation),
-    c AS (SELECT a.unit AS x, b.unit AS y FROM u a JOIN u b ON b.id = a.id + 5 OR b.id = a.id + 10)
-    SELECT f.unit, min_by(p.unit, (CASE WHEN k.n1 THEN 1 ELSE 2 END, p.unit)) AS owner FROM u f JOIN u p ON p.kind = 'PROCEDURE' AND p.pkg = f.pkg
-    JOIN LATERAL (SELECT EXISTS (SELECT 1 FROM c WHERE x = p.unit AND y = f.unit) AS n1, EXISTS (SELECT 1 FROM c c1 JOIN u m ON m.unit = c1.y AND m.kind = 'FUNCTION' AND m.pkg = f.pkg JOIN c c2 ON c2.x = m.unit WHERE c1.x = p.unit AND c2.y = f.unit) AS n2) k ON k.n1 OR k.n2
-    WHERE f.kind = 'FUNCTION' GROUP BY f.unit""")
+@P.query(f"""
+    WITH RECURSIVE c AS MATERIALIZED ({_CALLS}), u AS MATERIALIZED (SELECT DISTINCT item_id AS unit, item_type = 'FG' AS top, category_id % 5 AS pkg FROM t_item),
+    r AS (SELECT p.unit AS owner, p.pkg, f.unit AS f, 1 AS dist FROM u p JOIN c ON c.a = p.unit JOIN u f ON f.unit = c.b AND f.pkg = p.pkg WHERE p.top AND NOT f.top
+      UNION SELECT r.owner, r.pkg, f.unit, r.dist + 1 FROM r JOIN c ON c.a = r.f JOIN u f ON f.unit = c.b AND f.pkg = r.pkg WHERE NOT f.top AND r.dist < 40)
+    SELECT f AS unit, arg_min(owner, (dist, owner)) AS owner FROM r GROUP BY 1""")
 def graph_owners(s: S, d: str) -> DataFrame:
-    """The procedure of its package that owns each function."""
-    k = F.col("n_nationkey")
-    u = t(s, d, "nation").select(k.alias("id"), F.col("n_name").alias("unit"), F.when(k % 3 == 0, "PROCEDURE").otherwise("FUNCTION").alias("kind"), F.col("n_regionkey").alias("pkg"))
-    a, b = u.select(F.explode(F.array(F.col("id") + 5, F.col("id") + 10)).alias("to"), F.col("unit").alias("x")), u.select(F.col("id").alias("to"), F.col("unit").alias("y"))
-    return g.owners(u, a.join(b, "to"), unit="unit", kind="kind", package="pkg", caller="x", callee="y")
+    """The top item of its group that each item belongs to: the nearest that uses it, directly or through others of the group."""
+    kind = F.when(F.col("item_type") == "FG", "PROCEDURE").otherwise("FUNCTION")
+    units = t(s, d, "t_item").select(F.col("item_id").alias("unit"), kind.alias("kind"), (F.col("category_id") % 5).alias("pkg")).distinct()
+    return g.owners(units, _calls(s, d), unit="unit", kind="kind", package="pkg", caller="a", callee="b")
 
 
 @P.query("""
-    WITH RECURSIVE i AS (SELECT n_regionkey AS layer, n_name AS g, 1 + n_nationkey % 4 AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation),
-    w AS (SELECT layer, g, k, 0 AS shard, n AS used FROM i WHERE k = 1 UNION ALL SELECT i.layer, i.g, i.k, CASE WHEN w.used + i.n > 5 THEN w.shard + 1 ELSE w.shard END, CASE WHEN w.used + i.n > 5 THEN i.n ELSE w.used + i.n END FROM w JOIN i ON i.layer = w.layer AND i.k = w.k + 1)
+    WITH RECURSIVE i AS MATERIALIZED (SELECT layer, g, n, row_number() OVER (PARTITION BY layer ORDER BY g) AS k FROM (SELECT DISTINCT coalesce(category_id, 0) AS layer, item_code AS g, CAST(1 + item_id % 4 AS INTEGER) AS n FROM t_item)),
+    w AS (SELECT layer, g, k, 0 AS shard, n AS used FROM i WHERE k = 1 UNION ALL SELECT i.layer, i.g, i.k, CASE WHEN w.used + i.n > 25 THEN w.shard + 1 ELSE w.shard END, CASE WHEN w.used + i.n > 25 THEN i.n ELSE w.used + i.n END FROM w JOIN i ON i.layer = w.layer AND i.k = w.k + 1)
     SELECT layer, g AS "group", shard FROM w""")
 def graph_shards(s: S, d: str) -> DataFrame:
     """Groups packed into shards of bounded size, in order."""
-    x = t(s, d, "nation").select("n_regionkey", "n_name", (1 + F.col("n_nationkey") % 4).alias("n"))
-    return g.shards(x, layer="n_regionkey", group="n_name", size="n", most=5)
+    x = t(s, d, "t_item").select(F.coalesce("category_id", F.lit(0)).alias("layer"), F.col("item_code").alias("g"), (1 + F.col("item_id") % 4).cast("int").alias("n")).distinct()
+    return g.shards(x, layer="layer", group="g", size="n", most=25)
 
 
-@P.query("""SELECT n_nationkey, CASE WHEN count(*) OVER (PARTITION BY n_regionkey, upper(x)) > 1 THEN x || '__' || row_number() OVER (PARTITION BY n_regionkey, upper(x) ORDER BY n_nationkey) ELSE x END AS ref_name
-    FROM (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN 'calc' WHEN n_nationkey % 5 = 0 THEN 'CALC' ELSE 'f' || n_nationkey END AS x FROM nation)""")
+@P.query("""SELECT item_id, CASE WHEN count(*) OVER (PARTITION BY category_id, upper(item_name)) > 1 THEN item_name || '__' || row_number() OVER (PARTITION BY category_id, upper(item_name) ORDER BY item_id) ELSE item_name END AS ref_name
+    FROM (SELECT DISTINCT item_id, category_id, item_name FROM t_item)""")
 def overload_names(s: S, d: str) -> DataFrame:
-    """Reference names of overloaded units."""
-    k = F.col("n_nationkey")
-    x = t(s, d, "nation").select("n_nationkey", "n_regionkey", F.when(k % 2 == 0, "calc").when(k % 5 == 0, "CALC").otherwise(F.concat(F.lit("f"), k.cast("string"))).alias("x"))
-    return g.ref_names(x, package="n_regionkey", name="x", position="n_nationkey").select("n_nationkey", "ref_name")
+    """Reference names of units that share a name."""
+    x = t(s, d, "t_item").select("item_id", "category_id", "item_name").distinct()
+    return g.ref_names(x, package="category_id", name="item_name", position="item_id").select("item_id", "ref_name")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import ora as o
-from tamarack.operators.relational import fetch_percent, multiset, next_values, with_ties
+from tamarack.operators.relational import fetch_percent, multiset, next_values, sampled, with_ties
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 
@@ -38,17 +38,12 @@ def offset_page(s: S, d: str) -> DataFrame:
     return t(s, d, "customer").orderBy("c_acctbal", "c_custkey").offset(40).limit(20).select("c_custkey", "c_name")
 
 
-@P.query("""WITH x AS (SELECT c_custkey, nullif(c_nationkey, 7) AS k FROM customer) SELECT 'asc' AS dir, c_custkey, pos FROM (SELECT c_custkey, row_number() OVER (ORDER BY k ASC NULLS LAST, c_custkey) AS pos FROM x) WHERE pos > (SELECT count(*) FROM x) - 30
-    UNION ALL SELECT 'desc', c_custkey, pos FROM (SELECT c_custkey, row_number() OVER (ORDER BY k DESC NULLS FIRST, c_custkey) AS pos FROM x) WHERE pos <= 30""")
+@P.query("SELECT c_custkey, row_number() OVER (ORDER BY k ASC NULLS LAST, c_custkey) AS up, row_number() OVER (ORDER BY k DESC NULLS FIRST, c_custkey) AS down FROM (SELECT c_custkey, nullif(c_nationkey, 7) AS k FROM customer)")
 def null_ordering(s: S, d: str) -> DataFrame:
-    """Nulls last ascending and first descending by default; positions by range-partitioned numbering, not by one task."""
+    """Nulls last ascending and first descending by default; positions of all rows by range-partitioned numbering, not by one task."""
     x = t(s, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(7)).alias("k"))
-    n = x.count()
-    up = x.select("c_custkey", F.col("k").isNull().alias("a"), F.col("k").alias("b"))
-    first = next_values(up, "pos", 1, "a", "b", "c_custkey").where(F.col("pos") > n - 30).select(F.lit("asc").alias("dir"), "c_custkey", "pos")
-    down = x.orderBy(o.desc("k"), "c_custkey").limit(30)
-    last = next_values(down.select("c_custkey", F.col("k").isNotNull().alias("a"), (-F.col("k")).alias("b")), "pos", 1, "a", "b", "c_custkey").select(F.lit("desc").alias("dir"), "c_custkey", "pos")
-    return first.unionByName(last)
+    up = next_values(x, "up", 1, o.asc("k"), "c_custkey").select("c_custkey", "up")
+    return up.join(next_values(x, "down", 1, o.desc("k"), "c_custkey").select("c_custkey", "down"), "c_custkey")
 
 
 @P.query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
@@ -98,12 +93,16 @@ def multiset_union_distinct(s: S, d: str) -> DataFrame:
     return multiset("union", x.where("l_returnflag = 'A'").drop("l_returnflag"), x.where("l_returnflag = 'R'").drop("l_returnflag"), distinct=True)
 
 
-@P.query("SELECT 'rows' AS kind, true AS near")
+@P.query("SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '#7'), 1, 8) AS BIGINT) < 429496730")
 def sample_seed(s: S, d: str) -> DataFrame:
-    """SAMPLE (p) SEED (n): about p percent of the rows, the same ones for the same seed."""
-    x = t(s, d, "orders")
-    n, k = x.count(), x.sample(0.1, 7).count()
-    return s.range(1).select(F.lit("rows").alias("kind"), F.lit(abs(k - 0.1 * n) < 0.02 * n and k == x.sample(0.1, 7).count()).alias("near"))
+    """SAMPLE (10) SEED (7): by the hash of the key, so that a lost executor or another partitioning changes nothing."""
+    return sampled(t(s, d, "orders"), ["o_orderkey"], 10, 7).select("o_orderkey")
+
+
+@P.query("SELECT o_orderkey, o_custkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR) || '#3'), 1, 8) AS BIGINT) < 858993459.2")
+def sample_block(s: S, d: str) -> DataFrame:
+    """SAMPLE BLOCK (20) SEED (3): all rows of the blocks chosen, here of a customer."""
+    return sampled(t(s, d, "orders"), ["o_custkey"], 20, 3).select("o_orderkey", "o_custkey")
 
 
 @P.query("SELECT o_orderkey, 5000 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS seq FROM orders")
