@@ -2,45 +2,147 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def json_table(df: DataFrame, column: str, schema: str, *, path: str = "$", ordinality: str | None = None) -> DataFrame:
-    """JSON_TABLE(column, path COLUMNS (...)): the fields of ``schema`` as columns beside the row's own.
+def _steps(path: str) -> list[str]:
+    """The field names of a path such as '$.a.b[*]'; the last step of rows has [*]."""
+    return [x for x in path.removeprefix("$").replace("[*]", "").split(".") if x]
 
-    ``path`` '$' reads an object, '$[*]' one row for each element of an array, '$.a[*]' of the
-    array in field a; ``ordinality`` numbers elements from 1. Rows whose JSON is null, broken or
-    without elements give no row.
-    """
-    keep = [F.col(c) for c in df.columns if c != column]
-    if path == "$":
-        parsed = df.select(*keep, F.from_json(column, schema).alias("_j"))
-        return parsed.where("_j is not null").select(*[c for c in df.columns if c != column], "_j.*")
-    field = path[2:-3]
-    kind = f"array<struct<{_fields(schema)}>>"
-    parsed = F.from_json(column, f"{field} {kind}")[field] if field else F.from_json(F.concat(F.lit('{"_":'), F.col(column), F.lit("}")), f"_ {kind}")["_"]
-    rows = df.select(*keep, F.posexplode(parsed).alias("_i", "_j"))
-    number = [(F.col("_i") + 1).alias(ordinality)] if ordinality else []
-    return rows.select(*[c for c in df.columns if c != column], *number, "_j.*")
+
+def _ddl(steps: Sequence[str], leaf: str) -> str:
+    """The type of a document that holds ``leaf`` below ``steps``."""
+    for step in reversed(steps):
+        leaf = f"struct<`{step}`: {leaf}>"
+    return leaf
 
 
-def _fields(schema: str) -> str:
-    return ", ".join(":".join(part.strip().split(None, 1)) for part in schema.split(","))
+def json_table(
+    df: DataFrame,
+    column: str,
+    schema: str,
+    *,
+    path: str = "$",
+    ordinality: str | None = None,
+    nested: tuple[str, str] | None = None,
+    nested_ordinality: str | None = None,
+    defaults: dict[str, object] | None = None,
+    on_error: str = "empty",
+) -> DataFrame:
+    """JSON_TABLE(column, path COLUMNS (...)): the fields of ``schema`` as columns beside the row's own.
+
+    ``path`` '$' reads an object, '$[*]' one row for each element of an array, '$.a.b[*]' of an
+    array in a field; ``ordinality`` numbers elements from 1. ``nested`` is NESTED PATH: a path
+    below the row and its fields, joined from the left (a row without elements stays, its fields
+    null). ``defaults`` are values ON EMPTY. The document is parsed once.
+
+    Rows whose JSON is null or without elements give no row. Broken JSON gives none either, or
+    raises with ``on_error`` 'error'. Fields of another type are null. Of columns with the name
+    of ``column`` nothing is left.
+    """
+    others = [c for c in df.columns if c != column]
+    fields = T.StructType.fromDDL(schema)
+    row = fields
+    if nested:
+        inner = T.StructType.fromDDL(nested[1])
+        steps = _steps(nested[0])
+        row = T.StructType([*fields.fields, *T._parse_datatype_string(_ddl(steps, f"array<{inner.simpleString()}>")).fields])
+    many = path.endswith("[*]")
+    steps = _steps(path)
+    kind = f"array<{row.simpleString()}>" if many else row.simpleString()
+    text = F.col(column) if steps or not many else F.concat(F.lit('{"_rows":'), F.col(column), F.lit("}"))
+    steps = steps or (["_rows"] if many else [])
+    top = T._parse_datatype_string(_ddl(steps, kind))
+    bad = "_broken"
+    parsed = F.from_json(text, T.StructType([*top.fields, T.StructField(bad, T.StringType())]), {"columnNameOfCorruptRecord": bad})
+    rows = df.select(*others, F.col(column).alias("_text"), parsed.alias("_j")).where("_j is not null")
+    broken = F.col("_j")[bad].isNotNull() & F.try_parse_json("_text").isNull()
+    if on_error == "error":
+        rows = rows.withColumn("_j", F.when(broken, F.raise_error(F.concat(F.lit("broken JSON: "), "_text"))).otherwise(F.col("_j")))
+    else:
+        rows = rows.where(~broken)
+    for step in steps:
+        rows = rows.withColumn("_j", F.col("_j")[step])
+    number = []
+    if many:
+        rows = rows.select(*others, F.posexplode("_j").alias("_i", "_j"))
+        number = [(F.col("_i") + 1).alias(ordinality)] if ordinality else []
+    below = []
+    if nested:
+        kids = F.col("_j")
+        for step in _steps(nested[0]):
+            kids = kids[step]
+        rows = rows.withColumn("_kids", kids)
+        rows = rows.select(*[c for c in rows.columns if c != "_kids"], F.posexplode_outer("_kids").alias("_n", "_k"))
+        below = [(F.col("_n") + 1).alias(nested_ordinality)] if nested_ordinality else []
+        below += [F.col("_k")[f.name].alias(f.name) for f in inner.fields]
+    given = defaults or {}
+    own = [(F.coalesce(F.col("_j")[f.name], F.lit(given[f.name])) if f.name in given else F.col("_j")[f.name]).alias(f.name) for f in fields.fields]
+    return rows.select(*others, *number, *own, *below)
 
 
 def xml_table(df: DataFrame, column: str, row_path: str, fields: dict[str, tuple[str, str]], *, ordinality: str | None = None) -> DataFrame:
     """XMLTABLE(row_path PASSING column COLUMNS name type PATH path): one row for each node of ``row_path``.
 
-    ``fields`` names for each column its type and its path below the node. Null or broken XML
-    gives no row.
+    ``fields`` names for each column its type and its path below the node: 'a/b', '@attribute',
+    'a/@attribute' or '.' for the node's own text. A missing child is null in its own row, of
+    repeated children the first counts, a value of another type is null. The document is parsed
+    once. Null or broken XML gives no row.
     """
     keep = [c for c in df.columns if c != column]
-    sized = df.withColumn("_n", F.expr(f"cast(coalesce(xpath_int({column}, 'count({row_path})'), 0) as int)")).where("_n > 0")
-    rows = sized.select(*keep, column, F.explode(F.expr("sequence(1, _n)")).alias("_i"))
-    texts = {n: F.expr(f"xpath({column}, '{row_path}/{p}/text()')") for n, (_, p) in fields.items()}
-    number = [F.col("_i").alias(ordinality)] if ordinality else []
-    return rows.select(*keep, *number, *[F.try_element_at(texts[n], F.col("_i")).try_cast(kind).alias(n) for n, (kind, _) in fields.items()])
+    steps = [x for x in row_path.split("/") if x]
+    tree: dict = {}
+    for _, path in fields.values():
+        at = tree
+        for part in [x for x in path.split("/") if x not in {"", "."}]:
+            at = at.setdefault("_" + part[1:] if part.startswith("@") else part, {})
+        if path in {"", "."}:
+            tree.setdefault("_VALUE", {})
+    row = _xml_type(tree)
+    kind = f"array<{row}>"
+    for step in reversed(steps[1:]):
+        kind = f"struct<`{step}`: {kind}>"
+        kind = kind if step == steps[1] else f"array<{kind}>"
+    options = {"rowTag": steps[0], "valueTag": "_VALUE", "attributePrefix": "_", "mode": "PERMISSIVE"}
+    parsed = F.from_xml(F.col(column), kind, options) if len(steps) > 1 else F.array(F.from_xml(F.col(column), row, options))
+    rows = df.where(F.col(column).isNotNull()).select(*keep, parsed.alias("_x"))
+    for n, step in enumerate(steps[1:]):
+        inside = F.col("_x")[step]
+        rows = rows.withColumn("_x", F.flatten(inside) if n else inside)
+    rows = rows.select(*keep, F.posexplode("_x").alias("_i", "_x")).where("_x is not null")
+    number = [(F.col("_i") + 1).alias(ordinality)] if ordinality else []
+    return rows.select(*keep, *number, *[_xml_value(F.col("_x"), path).try_cast(kind).alias(n) for n, (kind, path) in fields.items()])
+
+
+def _xml_type(tree: dict) -> str:
+    """The type of a node: attributes and own text are strings, children arrays, so that one or many can be there."""
+    parts = [f"`{k}`: " + (_xml_type(v) if k.startswith("_") else f"array<{_xml_type(v)}>") for k, v in tree.items()]
+    return f"struct<{', '.join(parts)}>" if parts else "string"
+
+
+def _xml_value(node: Column, path: str) -> Column:
+    for part in [x for x in path.split("/") if x not in {"", "."}]:
+        node = node["_" + part[1:]] if part.startswith("@") else F.get(node[part], F.lit(0))
+    return node["_VALUE"] if path in {"", "."} else node
+
+
+def xml_forest(**children: Column) -> Column:
+    """XMLFOREST: an element for each child that is not null."""
+    return F.concat_ws("", *[F.when(v.isNotNull(), xml_element(k, v)) for k, v in children.items()])
+
+
+def xml_root(body: Column, version: str = "1.0") -> Column:
+    """XMLROOT: ``body`` behind an XML declaration."""
+    return F.concat(F.lit(f'<?xml version="{version}"?>'), body)
+
+
+def xml_pi(name: str, text: Column) -> Column:
+    """XMLPI: a processing instruction."""
+    return F.concat(F.lit(f"<?{name} "), text.cast("string"), F.lit("?>"))
 
 
 def xml_element(name: str, value: Column, **attributes: Column) -> Column:

@@ -20,27 +20,50 @@ def json_scalars(s: S, d: str) -> DataFrame:
     return t(s, d, "events").select("event_id", k.try_cast("int").alias("k"), F.get_json_object("props", "$.z").isNotNull().alias("has_z"), F.concat(k, F.lit("x")).alias("txt"))
 
 
-@P.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'click'")
+@P.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'none' AS z FROM events")
 def json_table_object(s: S, d: str) -> DataFrame:
-    """JSON_TABLE over an object."""
-    return n.json_table(t(s, d, "events").where("event_type = 'click'").select("event_id", "props"), "props", "k int")
+    """JSON_TABLE over an object, with a default for what is missing."""
+    return n.json_table(t(s, d, "events").select("event_id", "props"), "props", "k int, z string", defaults={"z": "none"})
 
 
-@P.query("SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS pos, n_nationkey AS id, n_name AS name FROM region JOIN nation ON r_regionkey = n_regionkey")
+#: Documents of orders, each with its lines; a third of the lines have no quantity, a fifth of the orders have no lines in the text.
+_DOCS = """SELECT o_orderkey AS k, l_linenumber AS no, CASE WHEN l_partkey % 3 > 0 THEN CAST(l_quantity AS BIGINT) END AS q, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 > 0"""
+
+
+def _docs(s: S, d: str) -> DataFrame:
+    lines = t(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("no"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_quantity").cast("long")).alias("q"), F.col("l_partkey").alias("p"))
+    return t(s, d, "orders").select(F.col("o_orderkey").alias("k")).join(lines, "k", "left")
+
+
+@P.query(f"SELECT k, no, row_number() OVER (PARTITION BY k ORDER BY no, p, q NULLS FIRST) AS pos, q, p FROM ({_DOCS})")
 def json_table_array(s: S, d: str) -> DataFrame:
-    """JSON_TABLE over an array in a field, with ORDINALITY."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))))
-    doc = t(s, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.to_json(F.struct(rows.alias("items"))).alias("doc"))
-    return n.json_table(doc, "doc", "id int, name string", path="$.items[*]", ordinality="pos").withColumn("pos", F.col("pos").cast("long"))
+    """JSON_TABLE over an array in a field, with ORDINALITY; fields that are missing are null."""
+    x = _docs(s, d).groupBy("k").agg(F.sort_array(F.collect_list(F.when(F.col("no").isNotNull() & (F.col("k") % 5 > 0), F.struct("no", "p", "q")))).alias("items"))
+    doc = x.select("k", F.to_json(F.struct(F.struct("items").alias("doc"))).alias("doc"))
+    out = n.json_table(doc, "doc", "no int, p bigint, q bigint", path="$.doc.items[*]", ordinality="pos")
+    return out.select("k", "no", F.col("pos").cast("long").alias("pos"), "q", "p")
+
+
+@P.query(f"""WITH x AS ({_DOCS}), o AS (SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey)
+    SELECT c_custkey, pos, o_orderkey AS id, no, q FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS pos FROM o) LEFT JOIN x ON k = o_orderkey""")
+def json_table_nested(s: S, d: str) -> DataFrame:
+    """JSON_TABLE with NESTED PATH: orders of a customer, lines of an order; orders without lines stay."""
+    lines = _docs(s, d).groupBy("k").agg(F.sort_array(F.collect_list(F.when(F.col("no").isNotNull() & (F.col("k") % 5 > 0), F.struct("no", "p", "q")))).alias("lines"))
+    orders = t(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k")).join(lines, "k")
+    doc = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("k").alias("id"), "lines"))).alias("orders"))).alias("doc"))
+    out = n.json_table(doc, "doc", "id bigint", path="$.orders[*]", ordinality="pos", nested=("$.lines[*]", "no int, q bigint"))
+    return out.select("c_custkey", F.col("pos").cast("long").alias("pos"), "id", "no", "q")
 
 
-@P.query("SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS pos, n_nationkey AS id, n_name AS name FROM region JOIN nation ON r_regionkey = n_regionkey")
+@P.query(f"SELECT k, no, row_number() OVER (PARTITION BY k ORDER BY no, p, q NULLS FIRST) AS pos, q, p FROM ({_DOCS})")
 def xml_table_rows(s: S, d: str) -> DataFrame:
-    """XMLTABLE over documents made by XMLAGG and XMLELEMENT."""
-    item = F.concat(F.lit("<i>"), n.xml_element("id", F.col("n_nationkey")), n.xml_element("name", F.col("n_name")), F.lit("</i>"))
-    x = t(s, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", item.alias("x")))).alias("rows"))
-    doc = x.select("r_regionkey", F.concat(F.lit("<r>"), F.array_join(F.transform("rows", lambda r: r["x"]), ""), F.lit("</r>")).alias("doc"))
-    return n.xml_table(doc, "doc", "/r/i", {"id": ("int", "id"), "name": ("string", "name")}, ordinality="pos").withColumn("pos", F.col("pos").cast("long"))
+    """XMLTABLE over documents made by XMLAGG, XMLELEMENT and XMLFOREST: attributes, and children that some rows lack."""
+    x = _docs(s, d).where("k % 5 > 0 and no is not null")
+    item = F.concat(F.lit('<i no="'), F.col("no").cast("string"), F.lit('">'), n.xml_forest(q=F.col("q"), p=F.col("p")), F.lit("</i>"))
+    rows = x.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("no", "p", "q", item.alias("x")))).alias("rows"))
+    doc = rows.select("k", n.xml_root(F.concat(F.lit("<r>"), F.array_join(F.transform("rows", lambda r: r["x"]), ""), F.lit("</r>"))).alias("doc"))
+    out = n.xml_table(doc, "doc", "/r/i", {"no": ("int", "@no"), "q": ("bigint", "q"), "p": ("bigint", "p")}, ordinality="pos")
+    return out.select("k", "no", F.col("pos").cast("long").alias("pos"), "q", "p")
 
 
 @P.query("""SELECT p_partkey, '<part key="' || p_partkey || '">' || p_name || '</part>' AS element, '{"key":' || p_partkey || ',"name":"' || p_name || '"}' AS obj, '[' || p_size || ',' || p_partkey || ']' AS arr FROM part""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.operators.hierarchy import components
-from tamarack.operators.nested import xml_table
+from tamarack.operators.nested import xml_forest, xml_table
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 from tamarack.sources import plsql
@@ -108,10 +108,11 @@ def metrics_rollup(s: S, d: str) -> DataFrame:
     return t(s, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), total.alias("cost"), F.round(total / F.count("*"), 6).alias("mean_cost"), F.max("value").alias("worst"))
 
 
-@P.query("SELECT n_regionkey AS report, n_nationkey AS line, CASE n_nationkey % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity FROM nation")
+@P.query("SELECT l_orderkey AS report, l_linenumber AS line, CASE l_partkey % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' END AS severity, CASE WHEN l_suppkey % 2 = 0 THEN 'rule ' || l_suppkey END AS message FROM lineitem")
 def report_findings(s: S, d: str) -> DataFrame:
-    """Findings out of checker reports in XML."""
-    k = F.col("n_nationkey")
-    item = F.concat(F.lit("<f><line>"), k.cast("string"), F.lit("</line><sev>"), F.element_at(F.array(F.lit("error"), F.lit("warning"), F.lit("info")), (k % 3 + 1).cast("int")), F.lit("</sev></f>"))
-    doc = t(s, d, "nation").groupBy(F.col("n_regionkey").alias("report")).agg(F.concat(F.lit("<r>"), F.array_join(F.collect_list(item), ""), F.lit("</r>")).alias("xml"))
-    return xml_table(doc, "xml", "/r/f", {"line": ("int", "line"), "severity": ("string", "sev")})
+    """Findings out of checker reports in XML, some without severity or message."""
+    severity = F.when(F.col("l_partkey") % 3 == 0, "error").when(F.col("l_partkey") % 3 == 1, "warning")
+    message = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("rule "), F.col("l_suppkey").cast("string")))
+    item = F.concat(F.lit('<error line="'), F.col("l_linenumber").cast("string"), F.lit('">'), xml_forest(severity=severity, message=message), F.lit("</error>"))
+    doc = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("report")).agg(F.concat(F.lit("<checkstyle><file>"), F.array_join(F.collect_list(item), ""), F.lit("</file></checkstyle>")).alias("xml"))
+    return xml_table(doc, "xml", "/checkstyle/file/error", {"line": ("int", "@line"), "severity": ("string", "severity"), "message": ("string", "message")})

@@ -140,3 +140,20 @@ def test_streams(spark, tmp_path):
     events.run_to_table(events.tumbling(stream, ts="t", keys=["k"], value="v", width="1 hour", late="1 minute"), str(tmp_path / "out"), str(tmp_path / "state2"))
     assert [(r["k"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 2)]
     assert events.sessions(rows, ts="t", keys=["k"], gap="10 minutes").count() == 2
+
+
+def test_xml_rows_keep_their_own_children(spark):
+    rows = [(1, '<r><i k="7"><a>1</a><b><c>x</c></b></i><i></i><i><a>3</a><a>4</a></i></r>'), (2, None), (3, "<r"), (4, "<r></r>")]
+    got = xml_table(spark.createDataFrame(rows, "id int, x string"), "x", "/r/i", {"a": ("int", "a"), "k": ("int", "@k"), "c": ("string", "b/c")}, ordinality="n")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, 7, "x"), (1, 2, None, None, None), (1, 3, 3, None, None)]
+    deep = spark.createDataFrame([("<r><g><i>5</i><i>6</i></g><g><i>7</i></g></r>",)], "x string")
+    assert [tuple(r) for r in xml_table(deep, "x", "/r/g/i", {"v": ("int", ".")}, ordinality="n").collect()] == [(1, 5), (2, 6), (3, 7)]
+
+
+def test_json_nested_paths_and_errors(spark):
+    rows = [(1, '{"items":[{"id":1,"kids":[{"n":"a"},{"n":"b"}]},{"kids":null}]}'), (2, '{"items":['), (3, None), (4, "{}"), (5, '{"items":[{"id":"x"},{"id":9}]}')]
+    df = spark.createDataFrame(rows, "k int, j string")
+    more = {"path": "$.items[*]", "ordinality": "pos", "nested": ("$.kids[*]", "n string"), "nested_ordinality": "kid", "defaults": {"id": 0}}
+    assert sorted(map(tuple, json_table(df, "j", "id int", **more).collect()), key=str) == [(1, 1, 1, 1, "a"), (1, 1, 1, 2, "b"), (1, 2, 0, None, None), (5, 1, 0, None, None), (5, 2, 9, None, None)]
+    with pytest.raises(Exception, match="broken JSON"):
+        json_table(df, "j", "id int", path="$.items[*]", on_error="error").collect()
