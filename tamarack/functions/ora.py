@@ -144,6 +144,30 @@ def to_char_number(x: Column, mask: str) -> Column:
     return F.when(F.abs(shown) >= F.lit(10**digits).cast("decimal(38,0)"), F.lit("#" * (len(body) + 1))).otherwise(out)
 
 
+def number_mask_sql(x: str, mask: str) -> str:
+    """The text of ``to_char_number`` for an expression that is given as SQL."""
+    fill = not mask.upper().startswith("FM")
+    body = mask[0 if fill else 2 :]
+    whole, _, part = body.partition(".")
+    if not re.fullmatch(r"[90,]+", whole) or not re.fullmatch(r"[90]*", part):
+        raise ValueError(f"unsupported number mask {mask}")
+    digits, least = len(whole.replace(",", "")), len(re.sub(r"[,9]", "", whole))
+    shown = f"round(cast({x} as decimal(38, 12)), {len(part)})"
+    grouped = f"format_number(abs({shown}), {len(part)})"
+    if "," not in whole:
+        grouped = f"replace({grouped}, ',', '')"
+    if not least:
+        grouped = f"regexp_replace({grouped}, '^0(?=[.])', '')"
+    elif "," not in whole:
+        head = f"substring_index({grouped}, '.', 1)"
+        grouped = f"concat(lpad({head}, greatest(length({head}), {least}), '0'), substring({grouped}, length({head}) + 1))"
+    if not fill and part and set(part) == {"9"}:
+        grouped = f"regexp_replace({grouped}, '0+$', '')"
+    out = f"concat(if({shown} < 0, '-', ''), {grouped})"
+    out = f"lpad({out}, {len(body) + 1}, ' ')" if fill else out
+    return f"if(abs({shown}) >= cast('1{'0' * digits}' as decimal(38, 0)), '{'#' * (len(body) + 1)}', {out})"
+
+
 def to_number(x: Column, default: Column | None = None, scale: int = 6) -> Column:
     """TO_NUMBER(x DEFAULT d ON CONVERSION ERROR): without default an invalid text is null."""
     out = F.trim(x).try_cast(f"decimal(38,{scale})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.operators.relational import BizError
+from tamarack.operators.relational import BizError, next_values
 from tamarack.session import cut
 
 
@@ -19,6 +19,7 @@ def connect_by(
     nocycle: bool = True,
     max_level: int = 100,
     stop_level: int | None = None,
+    keep_closing: bool = False,
     carry: dict[str, tuple[Column, Column]] | None = None,
 ) -> DataFrame:
     """Rows of a hierarchy below the items of ``start``.
@@ -32,7 +33,8 @@ def connect_by(
     One join with the edges for each level; levels are written to the checkpoint folder, so the
     lineage stays short. A path never enters an item that it holds: with ``nocycle`` the walk
     turns back there, else it raises. Deeper than ``max_level`` raises; with ``stop_level`` the
-    walk ends there (LEVEL <= n). Edges with a null end join nothing; repeated edges give
+    walk ends there (LEVEL <= n). With ``keep_closing`` the rows that enter an item again come out
+    too, with closes = 1, and are not led on (CYCLE ... SET). Edges with a null end join nothing; repeated edges give
     repeated rows, as in SQL; an empty start gives no row.
     """
     carry = carry or {}
@@ -40,7 +42,7 @@ def connect_by(
     row = start.select(F.col(root).alias("root"), F.col(root).alias("item"), F.lit(1).alias("level"), F.array(F.col(root)).alias("path"), *[v.alias(c) for c, (v, _) in carry.items()])
     level = cut(row.where("item is not null").withColumn("_id", F.monotonically_increasing_id()))
     kinds = {c: level.schema[c].dataType for c in carry}
-    found, links = level, None
+    found, links, closed = level, None, None
     for n in range(2, max_level + 2):
         if stop_level is not None and n > stop_level:
             break
@@ -55,6 +57,9 @@ def connect_by(
             raise BizError("CYCLE", "the hierarchy holds a cycle")
         of = row.groupBy(F.lit(n - 1).alias("level"), F.col("_of").alias("_id")).agg(F.min(F.col("_seen").cast("int")).alias("is_leaf"), F.max(F.col("_seen").cast("int")).alias("is_cycle"))
         links = of if links is None else links.unionByName(of)
+        if keep_closing:
+            closing = row.where("_seen").drop("_of", "_seen")
+            closed = closing if closed is None else closed.unionByName(closing)
         level = row.where("not _seen").drop("_of", "_seen")
         if level.isEmpty():
             break
@@ -62,8 +67,23 @@ def connect_by(
             raise BizError("TOO_DEEP", f"more than {max_level} levels")
         found = found.unionByName(level)
     if links is None:
-        return found.drop("_id").withColumns({"is_leaf": F.lit(1), "is_cycle": F.lit(0)})
-    return found.join(links, ["level", "_id"], "left").drop("_id").withColumns({"is_leaf": F.coalesce("is_leaf", F.lit(1)), "is_cycle": F.coalesce("is_cycle", F.lit(0))})
+        alone = found.drop("_id").withColumns({"is_leaf": F.lit(1), "is_cycle": F.lit(0)})
+        return alone.withColumn("closes", F.lit(0)) if keep_closing else alone
+    out = found.join(links, ["level", "_id"], "left").drop("_id").withColumns({"is_leaf": F.coalesce("is_leaf", F.lit(1)), "is_cycle": F.coalesce("is_cycle", F.lit(0))})
+    if not keep_closing:
+        return out
+    return out.withColumn("closes", F.lit(0)).unionByName(closed.drop("_id").withColumns({"is_leaf": F.lit(1), "is_cycle": F.lit(0), "closes": F.lit(1)}))
+
+
+def search_order(rows: DataFrame, *, path: str, level: str, name: str, breadth_first: bool = False) -> DataFrame:
+    """SEARCH DEPTH|BREADTH FIRST BY ... SET name: numbers the rows of a walk from 1.
+
+    ``path`` is the array of what siblings are ordered by, from the root on, and is unique.
+    Depth first a row comes before what is below it; breadth first levels come one after the
+    other. Numbered by range partitions, not in one task.
+    """
+    order = [level, path] if breadth_first else [path]
+    return next_values(rows, name, 1, *order)
 
 
 def sibling_order(path: Column, width: int = 19) -> Column:

@@ -53,16 +53,21 @@ def keep(df: DataFrame, keys: Sequence[str], rank_by: Column, aggregates: dict[s
     return df.join(edge, match).groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def with_ties(df: DataFrame, order: Sequence[str], n: int, *, descending: bool = False) -> DataFrame:
+def with_ties(df: DataFrame, order: Sequence[str | tuple[str, bool]], n: int, *, descending: bool = False) -> DataFrame:
     """FETCH FIRST n ROWS WITH TIES: the first n rows and all that equal the last of them; nulls sort as the largest.
 
-    The bound is the last row of a limit of n; the table is filtered by it instead of ranked in one task.
+    ``order`` holds columns, or pairs of a column and whether it descends. The bound is the last
+    row of a limit of n; the table is filtered by it instead of ranked in one task.
     """
-    keys = [F.col(c).desc_nulls_first() if descending else F.col(c).asc_nulls_last() for c in order]
-    flip = [F.col(c).asc_nulls_last() if descending else F.col(c).desc_nulls_first() for c in order]
-    edge = df.select(*order).orderBy(*keys).limit(n).orderBy(*flip).limit(1).select(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order]).alias("_edge"))
-    mine = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order])
-    return df.join(F.broadcast(edge), mine >= F.col("_edge") if descending else mine <= F.col("_edge"), "left_semi")
+    by = [c if isinstance(c, tuple) else (c, descending) for c in order]
+    sort = lambda down: [F.col(c).desc_nulls_first() if d != down else F.col(c).asc_nulls_last() for c, d in by]
+    edge = df.select(*[c for c, _ in by]).orderBy(*sort(False)).limit(n).orderBy(*sort(True)).limit(1).select(*[F.col(c).alias(f"_e{i}") for i, (c, _) in enumerate(by)])
+    inside = F.lit(True)
+    for i, (c, down) in reversed(list(enumerate(by))):
+        mine, bound = F.col(c), F.col(f"_e{i}")
+        before = (mine > bound) | (mine.isNull() & bound.isNotNull()) if down else (mine < bound) | (mine.isNotNull() & bound.isNull())
+        inside = F.coalesce(before, F.lit(False)) | (mine.eqNullSafe(bound) & inside)
+    return df.join(F.broadcast(edge), inside, "left_semi")
 
 
 def fetch_percent(df: DataFrame, percent: float, *order: Column | str) -> DataFrame:

@@ -64,6 +64,18 @@ def recursive_with(s: S, d: str) -> DataFrame:  # noqa: ARG001
 
 
 
+@P.query("""
+    WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation), w AS (SELECT a AS root, a AS item, 1 AS level, [a] AS path, 0 AS closes FROM e UNION ALL SELECT w.root, e.b, w.level + 1, list_append(w.path, e.b), CASE WHEN list_contains(w.path, e.b) THEN 1 ELSE 0 END FROM w JOIN e ON e.a = w.item WHERE w.closes = 0)
+    SELECT root, item, level, closes, row_number() OVER (ORDER BY path) AS depth_no, row_number() OVER (ORDER BY level, path) AS breadth_no FROM w""")
+def recursive_search_cycle(s: S, d: str) -> DataFrame:
+    """SEARCH DEPTH FIRST and BREADTH FIRST, and CYCLE ... SET: the row that closes a loop is marked and not led on."""
+    k = F.col("n_nationkey")
+    e = t(s, d, "nation").select(k.alias("a"), ((k * 3 + 1) % 25).alias("b"))
+    x = h.connect_by(e, e.select("a"), parent="a", child="b", root="a", keep_closing=True)
+    x = h.search_order(x, path="path", level="level", name="depth_no")
+    return h.search_order(x, path="path", level="level", name="breadth_no", breadth_first=True).select("root", "item", "level", "closes", "depth_no", "breadth_no")
+
+
 def _monthly(s: S, d: str) -> DataFrame:
     x = t(s, d, "orders").where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     month = (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1 - 1998 * 12).alias("n")
