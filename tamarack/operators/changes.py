@@ -28,3 +28,16 @@ def split_before(rows: DataFrame, column: str, day: str) -> tuple[DataFrame, Dat
     """Rows to keep and rows to archive (before ``day``), these with archive_month as yyyyMM to partition a write by. Null dates are kept."""
     old = F.coalesce(F.col(column) < F.lit(day).cast("date"), F.lit(False))
     return rows.where(~old), rows.where(old).withColumn("archive_month", F.date_format(column, "yyyyMM"))
+
+
+def returning(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """RETURNING INTO of an insert, update or delete: the rows that it touched, with action, and the new values (of deleted rows the old).
+
+    Rows are compared by ``keys``, which are unique; a row whose values are all equal was not
+    touched. Null keys match nothing: they count as inserted and deleted.
+    """
+    others = [c for c in new.columns if c not in keys]
+    before = old.select(*keys, F.struct(*[F.col(c) for c in others]).alias("_old"))
+    joined = new.select(*keys, F.struct(*[F.col(c) for c in others]).alias("_new")).join(before, list(keys), "full")
+    action = F.when(F.col("_old").isNull(), "INSERT").when(F.col("_new").isNull(), "DELETE").when(~F.col("_old").eqNullSafe(F.col("_new")), "UPDATE")
+    return joined.select(*keys, action.alias("action"), F.coalesce("_new", "_old").alias("_v")).where("action is not null").select(*keys, "action", "_v.*")

@@ -85,12 +85,12 @@ def densify(facts: DataFrame, keys: Sequence[str], calendar: DataFrame, on: Sequ
     return dense.join(facts, [*keys, *on], "left")
 
 
-def merge_into(target: DataFrame, source: DataFrame, keys: Sequence[str], *, update: dict[str, Column] | None = None, update_where: Column | None = None, delete_where: Column | None = None, insert_where: Column | None = None) -> DataFrame:
+def merge_into(target: DataFrame, source: DataFrame, keys: Sequence[str], *, update: dict[str, Column] | None = None, update_where: Column | None = None, delete_where: Column | None = None, insert_where: Column | None = None, insert: dict[str, Column] | None = None) -> DataFrame:
     """MERGE: the new snapshot of ``target``.
 
     Matched rows take ``update`` (expressions over t.* and s.*) where ``update_where`` holds and
     go where ``delete_where`` holds after the update; rows of ``source`` without match are
-    inserted where ``insert_where`` holds. A source that has a key twice raises, as the result
+    inserted where ``insert_where`` holds, with the values of ``insert`` (default: columns of the same name). A source that has a key twice raises, as the result
     would not be defined. Keys match by equality: a null key never matches.
 
     A left join of the target and an anti join of the source, so that a small source is
@@ -114,7 +114,8 @@ def merge_into(target: DataFrame, source: DataFrame, keys: Sequence[str], *, upd
     new = source.join(matched.distinct(), list(keys), "left_anti").alias("s")
     if insert_where is not None:
         new = new.where(F.coalesce(insert_where, F.lit(False)))
-    added = new.select(*[(F.col(f"s.{c}") if c in source.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in target.columns])
+    given = {c: F.col(f"s.{c}") for c in source.columns} if insert is None else insert
+    added = new.select(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in target.columns])
     return kept.drop("_hit").unionByName(added)
 
 
