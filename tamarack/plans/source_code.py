@@ -55,12 +55,78 @@ def src_package_refs(s: S, d: str) -> DataFrame:
     return plsql.package_refs(_facts(s, d))
 
 
-@P.query("SELECT file_id, 1 AS first_line, 3 AS last_line, array_to_string(string_split(source_text, chr(10))[1:3], chr(10)) AS source FROM src_file WHERE source_text IS NOT NULL AND len(string_split(source_text, chr(10))) >= 3")
+@P.query("""
+    WITH f AS (SELECT file_id, source_text, len(source_text) - len(replace(source_text, chr(10), '')) + 1 AS n FROM src_file WHERE source_text IS NOT NULL), r AS (SELECT file_id, source_text, CAST(n // 3 + 1 AS INTEGER) AS first_line, CAST(n AS INTEGER) AS last_line FROM f)
+    SELECT file_id, first_line, last_line, array_to_string(string_split(source_text, chr(10))[first_line:last_line], chr(10)) AS source FROM r""")
 def src_slices(s: S, d: str) -> DataFrame:
-    """Source lines of stated ranges."""
-    files = t(s, d, "src_file")
-    ranges = files.select("file_id", F.lit(1).alias("first_line"), F.lit(3).alias("last_line"))
-    return plsql.slices(files, ranges, file_id="file_id", text="source_text", first="first_line", last="last_line").where("source is not null")
+    """Source lines of stated ranges: the last two thirds of every file."""
+    files = t(s, d, "src_file").where("source_text is not null")
+    n = F.size(F.split("source_text", "\n"))
+    ranges = files.select("file_id", (F.floor(n / 3) + 1).cast("int").alias("first_line"), n.alias("last_line"))
+    return plsql.slices(files, ranges, file_id="file_id", text="source_text", first="first_line", last="last_line")
+
+
+# A corpus whose calls and references are known: a package for each item, which calls or refers to what its bills use.
+
+_LINKS = "SELECT DISTINCT h.item_id AS a, l.component_item_id AS b FROM t_bom_header h JOIN t_bom_line l ON l.bom_id = h.bom_id WHERE h.item_id <> l.component_item_id"
+_ITEMS = f"(SELECT a AS i FROM ({_LINKS}) UNION SELECT b FROM ({_LINKS}))"
+
+
+def _made(s: S, d: str) -> DataFrame:
+    links = t(s, d, "t_bom_header").select("bom_id", F.col("item_id").alias("a")).join(t(s, d, "t_bom_line").select("bom_id", F.col("component_item_id").alias("b")), "bom_id").where("a != b").select("a", "b").distinct()
+    uses = F.when(F.col("b") % 3 == 0, F.format_string("    v := app.P_%d.C_LIMIT; -- P_%d.MAIN(0);\n", "b", "b")).otherwise(F.format_string("    IF v > 1 THEN P_%d.main('x; END', v); END IF;\n", "b"))
+    body = links.groupBy(F.col("a").alias("i")).agg(F.array_join(F.sort_array(F.collect_list(uses)), "").alias("uses"))
+    every = links.select(F.col("a").alias("i")).unionByName(links.select(F.col("b").alias("i"))).distinct().join(body, "i", "left").withColumn("uses", F.coalesce("uses", F.lit("    NULL;\n")))
+    i, head = F.col("i").cast("string"), "CREATE OR REPLACE PACKAGE "
+    spec = F.concat(F.lit(head + "app.P_"), i, F.lit(" IS\n  c_limit CONSTANT NUMBER := 1;\n  PROCEDURE main(p_text IN VARCHAR2, p_no IN OUT NUMBER);\nEND P_"), i, F.lit(";\n/\n"))
+    code = F.concat(F.lit(head + "BODY app.P_"), i, F.lit(" AS\n  FUNCTION helper(p_a NUMBER DEFAULT 7) RETURN NUMBER IS BEGIN RETURN p_a; END helper;\n  PROCEDURE main(p_text IN VARCHAR2, p_no IN OUT NUMBER) IS\n    v NUMBER;\n  BEGIN\n"), F.col("uses"), F.lit("    v := helper(1);\n  END main;\nEND;\n/\n"))
+    table = F.concat(F.lit("CREATE TABLE app.t_"), i, F.lit(" (id NUMBER(18) NOT NULL, /* x NUMBER, */ amount NUMBER(10,2) DEFAULT 0, CONSTRAINT pk PRIMARY KEY (id"), F.when(F.col("i") % 2 == 0, ", amount").otherwise(""), F.lit("));\n"))
+    timing = F.when(F.col("i") % 2 == 0, "BEFORE INSERT OR UPDATE").otherwise("AFTER DELETE")
+    trigger = F.concat(F.lit("CREATE TRIGGER trg_"), i, F.lit(" "), timing, F.lit(" ON app.t_"), i, F.lit(" FOR EACH ROW WHEN (NEW.id > 0)\nBEGIN NULL; END;\n/\n"))
+    return plsql.facts(every.select(F.col("i").alias("file_id"), F.concat(spec, code, table, trigger).alias("text")), file_id="file_id", text="text")
+
+
+@P.query(f"SELECT 'P_' || a AS package, 'MAIN' AS unit, 'P_' || b AS callee_package, 'MAIN' AS callee FROM ({_LINKS}) WHERE b % 3 <> 0 UNION ALL SELECT 'P_' || i, 'MAIN', 'P_' || i, 'HELPER' FROM {_ITEMS}")
+def src_made_calls(s: S, d: str) -> DataFrame:
+    """Call edges of the made corpus, comments and texts aside."""
+    return plsql.calls(_made(s, d)).select("package", F.substring_index("unit", "@", 1).alias("unit"), "callee_package", "callee")
+
+
+@P.query(f"SELECT 'P_' || a AS package, 'P_' || b AS ref_package, 'C_LIMIT' AS name FROM ({_LINKS}) WHERE b % 3 = 0")
+def src_made_refs(s: S, d: str) -> DataFrame:
+    """References to constants of other packages, apart from calls."""
+    return plsql.package_refs(_made(s, d)).select("package", "ref_package", "name")
+
+
+@P.query(f"SELECT 'P_' || a AS package, 'P_' || b AS depends_on, CASE WHEN b % 3 = 0 THEN 'ref' ELSE 'call' END AS how FROM ({_LINKS})")
+def src_made_dependencies(s: S, d: str) -> DataFrame:
+    """Dependencies of packages, by call or by reference."""
+    return plsql.package_dependencies(_made(s, d))
+
+
+@P.query(f"SELECT 'P_' || i AS package, x.* FROM {_ITEMS}, (VALUES ('MAIN', 'PROCEDURE', NULL, 'SPEC', 3, 3), ('HELPER', 'FUNCTION', 'NUMBER', 'BODY', 7, 7), ('MAIN', 'PROCEDURE', NULL, 'BODY', 8, NULL)) x(name, kind, return_type, mode, line_start, line_end) WHERE line_end IS NOT NULL UNION ALL SELECT 'P_' || i, 'MAIN', 'PROCEDURE', NULL, 'BODY', 8, CAST(12 + greatest(1, (SELECT count(*) FROM ({_LINKS}) WHERE a = i)) AS INTEGER) FROM {_ITEMS}")
+def src_made_routines(s: S, d: str) -> DataFrame:
+    """Routines with kind, return type and lines."""
+    return _made(s, d).where("fact = 'routine'").select("package", "name", F.col("type").alias("kind"), F.col("detail").alias("return_type"), "mode", "line_start", "line_end")
+
+
+@P.query(f"SELECT 'P_' || i AS package, x.* FROM {_ITEMS}, (VALUES ('MAIN', 'SPEC', 1, 'P_TEXT', 'IN', 'VARCHAR2', NULL), ('MAIN', 'SPEC', 2, 'P_NO', 'IN OUT', 'NUMBER', NULL), ('MAIN', 'BODY', 1, 'P_TEXT', 'IN', 'VARCHAR2', NULL), ('MAIN', 'BODY', 2, 'P_NO', 'IN OUT', 'NUMBER', NULL), ('HELPER', 'BODY', 1, 'P_A', 'IN', 'NUMBER', '7')) x(routine, part, pos, name, mode, type, default_value)")
+def src_made_parameters(s: S, d: str) -> DataFrame:
+    """Parameters with mode, type and default, of specs (line 3) and bodies."""
+    part = F.when(F.col("line_start") == 3, "SPEC").otherwise("BODY")
+    return _made(s, d).where("fact = 'parameter'").select("package", F.substring_index("unit", "@", 1).alias("routine"), part.alias("part"), "pos", "name", "mode", "type", F.col("detail").alias("default_value"))
+
+
+@P.query(f"""SELECT 'T_' || i AS "table", 1 AS pos, 'ID' AS "column", 'NUMBER(18)' AS type, false AS nullable, NULL AS default_value, true AS is_key FROM {_ITEMS} UNION ALL SELECT 'T_' || i, 2, 'AMOUNT', 'NUMBER(10,2)', true, '0', i % 2 = 0 FROM {_ITEMS}""")
+def src_made_tables(s: S, d: str) -> DataFrame:
+    """Columns of tables with type, default and key."""
+    return plsql.tables(_made(s, d))
+
+
+@P.query(f"""SELECT 'TRG_' || i AS "trigger", 'T_' || i AS "table", CASE WHEN i % 2 = 0 THEN 'BEFORE' ELSE 'AFTER' END AS timing, 'ROW' AS level, CASE WHEN i % 2 = 0 THEN ['INSERT', 'UPDATE'] ELSE ['DELETE'] END AS events, 'NEW.id > 0' AS condition FROM {_ITEMS}""")
+def src_made_triggers(s: S, d: str) -> DataFrame:
+    """Triggers with table, timing, level, events and condition."""
+    return plsql.triggers(_made(s, d))
 
 
 @P.query("""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.operators.bounded import spread
+from tamarack.operators.relational import BizError
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
 
@@ -301,6 +302,47 @@ def package_refs(found: DataFrame) -> DataFrame:
     return split.join(units, "ref_package").join(known, ["ref_package", "name"], "left_anti").where("ref_package != package").select("file_id", "package", "unit", "ref_package", "name").distinct()
 
 
+def package_dependencies(found: DataFrame) -> DataFrame:
+    """package, depends_on and how ('call', 'ref' or 'both'): packages that call routines of another or use its constants, types or variables."""
+    called = calls(found).select("package", F.col("callee_package").alias("depends_on"), F.lit(1).alias("c"), F.lit(0).alias("r"))
+    referred = package_refs(found).select("package", F.col("ref_package").alias("depends_on"), F.lit(0).alias("c"), F.lit(1).alias("r"))
+    both = called.unionByName(referred).where("package != depends_on").groupBy("package", "depends_on").agg(F.max("c").alias("c"), F.max("r").alias("r"))
+    return both.select("package", "depends_on", F.when(F.col("c") + F.col("r") == 2, "both").when(F.col("c") == 1, "call").otherwise("ref").alias("how"))
+
+
+def tables(found: DataFrame) -> DataFrame:
+    """table, pos, column, type, nullable, default_value and is_key of every column of CREATE TABLE."""
+    keys = found.where("fact = 'key'").select("file_id", "unit", "name").distinct().withColumn("is_key", F.lit(True))
+    columns = found.where("fact = 'column'").select("file_id", "unit", "name", "pos", "type", "mode", "detail")
+    return columns.join(keys, ["file_id", "unit", "name"], "left").select(
+        F.col("unit").alias("table"), "pos", F.col("name").alias("column"), "type", (F.col("mode") == "NULL").alias("nullable"), F.col("detail").alias("default_value"), F.coalesce("is_key", F.lit(False)).alias("is_key")
+    )
+
+
+def triggers(found: DataFrame) -> DataFrame:
+    """trigger, table, timing, level, events (an array) and condition of every CREATE TRIGGER."""
+    parts = F.split("detail", r"\|", 2)
+    return found.where("fact = 'trigger'").select(
+        F.col("name").alias("trigger"), F.col("unit").alias("table"), F.col("type").alias("timing"), F.col("mode").alias("level"), F.split(parts[0], ",").alias("events"), F.nullif(parts[1], F.lit("")).alias("condition")
+    )
+
+
+def resolve_entry(found: DataFrame, entry: str) -> tuple[str, str, int]:
+    """Package, routine and number of the overload that an entry point names, among the routines with a body.
+
+    A name that no routine has raises NO_ENTRY, one that several share without a number, or that
+    packages of several folders have, AMBIGUOUS_ENTRY. Reads the routines of one name only.
+    """
+    wanted = parse_entry(entry)
+    same = found.where("fact = 'routine' and mode = 'BODY'").where((F.upper("package") == wanted["package"]) & (F.upper("name") == wanted["name"].upper()))
+    rows = same.select("file_id", "line_start").distinct().orderBy("file_id", "line_start").take(1000)
+    if not rows or wanted["overload"] and not 1 <= int(wanted["overload"]) <= len(rows):
+        raise BizError("NO_ENTRY", f"no routine {entry}")
+    if len(rows) > 1 and not wanted["overload"]:
+        raise BizError("AMBIGUOUS_ENTRY", f"{len(rows)} routines {entry}: name one by __1 to __{len(rows)}")
+    return wanted["package"], wanted["name"].upper(), int(wanted["overload"] or 1)
+
+
 def slices(files: DataFrame, ranges: DataFrame, *, file_id: str, text: str, first: str, last: str) -> DataFrame:
     """Lines ``first`` to ``last`` of each file's text for the rows of ``ranges``: its columns and source; an invalid range gives null."""
     texts = files.select(file_id, F.split(text, "\n").alias("_lines"))

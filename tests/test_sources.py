@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.operators.nested import json_table, xml_table
+from tamarack.operators.relational import BizError
 from tamarack.sources import files, plsql
 from tamarack.streaming import events
 
@@ -157,3 +158,15 @@ def test_json_nested_paths_and_errors(spark):
     assert sorted(map(tuple, json_table(df, "j", "id int", **more).collect()), key=str) == [(1, 1, 1, 1, "a"), (1, 1, 1, 2, "b"), (1, 2, 0, None, None), (5, 1, 0, None, None), (5, 2, 9, None, None)]
     with pytest.raises(Exception, match="broken JSON"):
         json_table(df, "j", "id int", path="$.items[*]", on_error="error").collect()
+
+
+def test_dependencies_and_entries(spark, found):
+    assert {tuple(r) for r in plsql.package_dependencies(found).collect()} == {("CORE", "UTIL", "both"), ("__STANDALONE_SOLO__", "CORE", "call")}
+    assert plsql.resolve_entry(found, "x/core.total") == ("CORE", "TOTAL", 1)
+    with pytest.raises(BizError, match="NO_ENTRY"):
+        plsql.resolve_entry(found, "core.nothing")
+    twice = "CREATE PACKAGE BODY p IS PROCEDURE a IS BEGIN NULL; END; PROCEDURE a(x NUMBER) IS BEGIN NULL; END; END;"
+    again = plsql.facts(spark.createDataFrame([(1, twice)], "f long, s string"), file_id="f", text="s")
+    with pytest.raises(BizError, match="AMBIGUOUS_ENTRY"):
+        plsql.resolve_entry(again, "p.a")
+    assert plsql.resolve_entry(again, "p.a__2") == ("P", "A", 2)
