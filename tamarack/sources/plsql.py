@@ -335,7 +335,7 @@ def resolve_entry(found: DataFrame, entry: str) -> tuple[str, str, int]:
     """
     wanted = parse_entry(entry)
     same = found.where("fact = 'routine' and mode = 'BODY'").where((F.upper("package") == wanted["package"]) & (F.upper("name") == wanted["name"].upper()))
-    rows = same.select("file_id", "line_start").distinct().orderBy("file_id", "line_start").take(1000)
+    rows = same.select("file_id", "line_start", "unit").distinct().orderBy("file_id", "line_start", "unit").take(1000)
     if not rows or wanted["overload"] and not 1 <= int(wanted["overload"]) <= len(rows):
         raise BizError("NO_ENTRY", f"no routine {entry}")
     if len(rows) > 1 and not wanted["overload"]:

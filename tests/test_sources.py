@@ -165,7 +165,7 @@ def test_dependencies_and_entries(spark, found):
     assert plsql.resolve_entry(found, "x/core.total") == ("CORE", "TOTAL", 1)
     with pytest.raises(BizError, match="NO_ENTRY"):
         plsql.resolve_entry(found, "core.nothing")
-    twice = "CREATE PACKAGE BODY p IS PROCEDURE a IS BEGIN NULL; END; PROCEDURE a(x NUMBER) IS BEGIN NULL; END; END;"
+    twice = "CREATE PACKAGE BODY p IS PROCEDURE a IS BEGIN NULL; END;\n PROCEDURE a(x NUMBER) IS BEGIN NULL; END; END;"
     again = plsql.facts(spark.createDataFrame([(1, twice)], "f long, s string"), file_id="f", text="s")
     with pytest.raises(BizError, match="AMBIGUOUS_ENTRY"):
         plsql.resolve_entry(again, "p.a")
