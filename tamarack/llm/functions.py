@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from tamarack.operators.bounded import spread
 
-#: Tokens: comments, strings, quoted names, line ends with following white space, words (with dots), single signs, runs of other signs.
-_TOKEN = (
-    r"--[^\n]*"
-    r"|/\*[\s\S]*?(?:\*/|\z)"
-    r"|[nN]?[qQ]'(?:\[[\s\S]*?\]'|\{[\s\S]*?\}'|\([\s\S]*?\)'|<[\s\S]*?>'|([^\s\[{(<])[\s\S]*?\1')"
+# Words that may stand before FUNCTION or PROCEDURE in a header.
+_BEFORE = "CREATE OR REPLACE EDITIONABLE NONEDITIONABLE MEMBER STATIC MAP ORDER CONSTRUCTOR FINAL INSTANTIABLE OVERRIDING NOT".split()
+# Words that end statements, change the depth or begin a header.
+_KEY = "BEGIN END IF LOOP CASE IS AS THEN ELSE DECLARE FUNCTION PROCEDURE PACKAGE TYPE SELF EXISTS".split()
+_KEYWORD = rf"(?i:{'|'.join(sorted({*_KEY, *_BEFORE}, key=lambda x: (-len(x), x)))})(?![\p{{L}}\p{{N}}_$#]|\.[\p{{L}}_])"
+_WORD = r"[\p{L}_][\p{L}\p{N}_$#]*+(?:\.[\p{L}_][\p{L}\p{N}_$#]*+){0,9}+"
+_ITEM = (
+    r"(?:[nN]?[qQ]'(?:\[[\s\S]*?\]'|\{[\s\S]*?\}'|\([\s\S]*?\)'|<[\s\S]*?>'|([^\s\[{(<])[\s\S]*?\1')"
     r"|'[^']*(?:'|\z)"
     r'|"[^"]*(?:"|\z)'
-    r"|\n\s*"
     r"|\$\$?[A-Za-z_]+"
-    r"|[\p{L}_][\p{L}\p{N}_$#]*(?:\.[\p{L}_][\p{L}\p{N}_$#]*)*"
-    r"|[();/-]"
+    rf"|(?!{_KEYWORD}){_WORD}"
+    r"|\((?:[^()'\"/;$-]++|'[^']*+'|-(?!-)|/(?!\*)){0,40}+\)"
     r"|[^\s\p{L}_$'\"();/-]+"
-    r"|\$"
+    r"|-(?!-))"
 )
-# Words that may stand before FUNCTION or PROCEDURE in a header.
-_BEFORE = "CREATE OR REPLACE EDITIONABLE NONEDITIONABLE MEMBER STATIC MAP ORDER CONSTRUCTOR FINAL INSTANTIABLE OVERRIDING NOT".split()
+#: Tokens: comments, line ends with following white space, words that decide, runs of up to forty items that decide nothing
+#: (strings, names, other words, signs, flat parentheses), and single signs.
+_TOKEN = rf"--[^\n]*|/\*[\s\S]*?(?:\*/|\z)|\n\s*|{_KEYWORD}|{_ITEM}(?:\s*+{_ITEM}){{0,39}}+|[();/-]|\$"
+#: The name at the start of a run.
+_NAME = rf'^(?:"[^"]*"|{_WORD})(?:\.(?:"[^"]*"|[\p{{L}}_][\p{{L}}\p{{N}}_$#]*))*'
 # Names of comment entries that describe no function.
 _ENTRY = (
     r"@\w+|(?:创建|修改|变更|更新|编写|开发)?\s*(?:作\s*者|人\s*员|人|日\s*期|时\s*间)|创\s*建|修\s*改(?:记录|历史|说明|内容|原因)?|变\s*更(?:记录|历史|说明|内容|原因)?|版\s*本\s*号?|参\s*数(?:说明|列表)?|入\s*参|出\s*参|输入(?:参数)?|输出(?:参数)?|返\s*回\s*值?"
@@ -50,6 +55,9 @@ def _newlines(text: Column) -> Column:
 def lexed(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
     """One row for each token that is no line end: file_id, pos, token, comment (or code), line and end_line (from 1).
 
+    What lies between the words and signs that decide about routines is one token, however many
+    strings, names and signs it holds, so that a statement is a few rows.
+
     Tokens of a repeated file lie side by side in its order; one of each is kept.
     """
     texts = spread(files.where(F.col(file_id).isNotNull() & F.col(text).isNotNull()).select(F.col(file_id).alias("file_id"), F.col(text).alias("_text")))
@@ -84,7 +92,7 @@ def routines(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("pos")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     code = ~F.col("comment")
-    t = lexed(files, file_id=file_id, text=text).withColumn("up", F.when(code & F.col("token").rlike(r"^[\p{L}_;(/)]"), F.upper("token")))
+    t = lexed(files, file_id=file_id, text=text).withColumn("up", F.when(code & F.col("token").rlike(rf"^(?:{_KEYWORD}|[;(/)])$"), F.upper("token")))
     # Comments on lines of their own, by the code token that they precede.
     t = (
         t.withColumn("group", F.coalesce(F.sum(code.cast("int")).over(before), F.lit(0)))
@@ -107,7 +115,7 @@ def routines(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
     t = t.withColumn("statement", F.sum(starts.cast("int")).over(upto)).withColumn("unit", F.sum(F.coalesce(F.col("up") == "CREATE", F.lit(False)).cast("int")).over(upto))
     inside = Window.partitionBy("file_id", "statement").orderBy("pos")
     others = F.sum((~F.coalesce(F.col("up").isin(_BEFORE), F.lit(False))).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    named = F.when(F.col("token").rlike(r'^[\p{L}_"]') & ~F.coalesce(F.col("up").isin("IF", "NOT", "EXISTS"), F.lit(False)), F.struct("pos", "token"))
+    named = F.when(F.col("up").isNull() & F.col("token").rlike(r'^[\p{L}_"]'), F.struct("pos", F.regexp_extract("token", _NAME, 0).alias("token")))
     whole_statement = Window.partitionBy("file_id", "statement")
     t = (
         t.withColumn("header", F.col("up").isin("FUNCTION", "PROCEDURE") & (F.coalesce(others, F.lit(0)) == 0))
@@ -131,7 +139,7 @@ def routines(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
     t = t.withColumn("open", F.sum("event").over(level.rowsBetween(Window.unboundedPreceding, 0)))
     pair = Window.partitionBy("file_id", "unit", "depth", F.expr("if(event = 1, open - 1, open)")).orderBy("pos")
     t = t.withColumn("line_end", F.lead("end_line").over(pair)).where("event = 1")
-    name = F.lower(F.regexp_replace(F.element_at(F.split(F.regexp_replace("head.name", '^"|"$', ""), r'"?\."?'), -1), '"', ""))
+    name = F.lower(F.regexp_replace(F.regexp_extract("head.name", r'("[^"]*"|[^."]+)$', 1), '"', ""))
     return t.select("file_id", F.col("head.line").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"), name.alias("routine_name"), F.when(F.size("head.doc") > 0, F.array_join("head.doc", "\n")).alias("comment"))
 
 
