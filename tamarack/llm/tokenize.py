@@ -136,3 +136,19 @@ def encode_corpus(documents: DataFrame, *, doc_id: str, text: str, vocabulary: s
     """
     texts = spread(documents.select(F.col(doc_id).alias(doc_id), F.col(text).alias("_text")))
     return texts.select(doc_id, token_ids(documents.sparkSession, F.col("_text"), vocabulary).alias("ids"))
+
+
+def decode_corpus(encoded: DataFrame, *, doc_id: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id`` and text of every row, from its ids: the inverse of ``encode_corpus``; null ids give an empty text.
+
+    Ids that the vocabulary doesn't have raise. Repeated rows stay, other columns are ignored.
+    """
+    model = encoded.sparkSession.sparkContext.broadcast(sentencepiece_model(vocabulary))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = _encoder(model.value)
+        for rows in batches:
+            yield pd.Series(["" if x is None else encoder.decode([int(i) for i in x]) for x in rows], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return encoded.select(F.col(doc_id).alias(doc_id), F.pandas_udf(run, "string")(F.col(ids)).alias("text"))

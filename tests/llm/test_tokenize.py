@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tamarack.llm.tokenize import PATTERN, VOCABULARY, Encoder, byte_letters, encode_corpus, sentencepiece_model
+from pyspark.sql import functions as F
+
+from tamarack.llm.tokenize import PATTERN, VOCABULARY, Encoder, byte_letters, decode_corpus, encode_corpus, sentencepiece_model
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 
@@ -52,3 +54,13 @@ def test_corpus(spark, other):
     got = [(r["doc_id"], r["ids"]) for r in encode_corpus(df, doc_id="doc_id", text="text").collect()]
     assert got == [(i, other.encode_ordinary(t) if t else []) for i, t, _ in rows]
     assert encode_corpus(df.limit(0), doc_id="doc_id", text="text").count() == 0
+
+
+def test_decoding_is_the_inverse(spark):
+    rows = [(1, "Grüße, 漢字 \U0001f600 <|endoftext|>\r\n\t x"), (2, ""), (3, None), (4, "a" * 50_000), (4, "a" * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))
+    got = decode_corpus(encode_corpus(df, doc_id="doc_id", text="text"), doc_id="doc_id", ids="ids").collect()
+    assert sorted(map(tuple, got)) == sorted((i, t or "") for i, t in rows)
+    none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert [tuple(r) for r in decode_corpus(none, doc_id="doc_id", ids="ids").collect()] == [(1, "")]
+    assert decode_corpus(none.limit(0), doc_id="doc_id", ids="ids").count() == 0
