@@ -23,9 +23,9 @@ _ITEM = (
     r"|[^\s\p{L}_$'\"();/-]+"
     r"|-(?!-))"
 )
-#: Tokens: comments, line ends with following white space, words that decide, runs of up to forty items that decide nothing
-#: (strings, names, other words, signs, flat parentheses), and single signs.
-_TOKEN = rf"--[^\n]*|/\*[\s\S]*?(?:\*/|\z)|\n\s*|{_KEYWORD}|{_ITEM}(?:\s*+{_ITEM}){{0,39}}+|[();/-]|\$"
+#: Tokens, each with the white space behind it: comments, words that decide, runs of up to forty items that decide nothing
+#: (strings, names, other words, signs, flat parentheses), and single signs; line ends at the start of a text.
+_TOKEN = rf"(?:--[^\n]*|/\*[\s\S]*?(?:\*/|\z)|{_KEYWORD}|{_ITEM}(?:\s*+{_ITEM}){{0,39}}+|[();/-]|\$)\s*+|\n\s*"
 #: The name at the start of a run.
 _NAME = rf'^(?:"[^"]*"|{_WORD})(?:\.(?:"[^"]*"|[\p{{L}}_][\p{{L}}\p{{N}}_$#]*))*'
 # Names of comment entries that describe no function.
@@ -61,15 +61,17 @@ def lexed(files: DataFrame, *, file_id: str, text: str) -> DataFrame:
     Tokens of a repeated file lie side by side in its order; one of each is kept.
     """
     texts = spread(files.where(F.col(file_id).isNotNull() & F.col(text).isNotNull()).select(F.col(file_id).alias("file_id"), F.col(text).alias("_text")))
-    tokens = texts.select("file_id", F.posexplode(F.regexp_extract_all("_text", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+    tokens = texts.select("file_id", F.posexplode(F.regexp_extract_all("_text", F.lit(_TOKEN), F.lit(0))).alias("pos", "raw"))
     order = Window.partitionBy("file_id").orderBy("pos")
-    lines = _newlines(F.col("token"))
-    once = tokens.withColumn("before", F.lag("pos").over(order)).where("before is null or before != pos").drop("before")
+    before = F.sum(_newlines(F.col("raw"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    once = tokens.withColumn("last", F.lag("pos").over(order)).where("last is null or last != pos").drop("last")
     return (
-        once.withColumn("end_line", F.lit(1) + F.sum(lines).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("line", F.col("end_line") - lines)
-        .where(~F.col("token").startswith("\n"))
+        once.withColumn("line", F.lit(1) + F.coalesce(before, F.lit(0)))
+        .withColumn("token", F.rtrim("raw", F.lit(" \n\t\r\f\x0b")))
+        .withColumn("end_line", F.col("line") + _newlines(F.col("token")))
+        .where("token != ''")
         .withColumn("comment", F.col("token").startswith("--") | F.col("token").startswith("/*"))
+        .drop("raw")
     )
 
 
