@@ -24,8 +24,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, s
     share is used ``most`` times throughout, and every other source gets its share of the same
     total: all its documents as often as the budget holds them, and once more those whose hash
     lies below a threshold. The threshold comes from sums of sizes by source and hash bucket;
-    only the bucket in which the budget ends is refined, until its hash is known to the last
-    bit. Nothing is sorted but the buckets, at most 2**16 a source. The budget is met up to half
+    only the bucket in which the budget ends is read again and refined, until it holds one hash.
+    Nothing is sorted but the buckets, at most 2**16 a source. The budget is met up to half
     of the last document's size (documents with the same hash are taken together).
 
     Sources without documents reach no share and don't hold back the others. Left out:
@@ -48,15 +48,19 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str, source: str, s
     plan = plan.withColumn("rest", F.when(F.col("full") < F.col("max_repeats"), F.col("budget") - F.col("full") * F.col("available")).otherwise(F.lit(0).cast("long")))
     plan = cut(plan.drop("whole"))
 
-    # The bucket in which each source's rest ends; 'rest' is what is left for it.
-    edge = plan.where("rest > 0").select("source", "rest", F.lit(None).cast("long").alias("prefix"))
+    # The bucket in which each source's rest ends; 'rest' is what is left for it. Only the first round reads all documents, the
+    # others what lies in such a bucket, until each holds one hash.
+    edge, inside = plan.where("rest > 0").select("source", "rest"), sized
     for shift in range(64 - _BITS, -1, -_BITS):
-        inside = F.lit(True) if shift == 64 - _BITS else F.shiftright("hash", shift + _BITS) == F.col("prefix")
-        sums = sized.join(small(edge.select("source", "prefix", "rest")), "source").where(inside).groupBy("source", "rest", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"))
+        bucket = F.shiftright("hash", shift)
+        sums = inside.join(small(edge.select("source", "rest")), "source").groupBy("source", "rest", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.min("hash").alias("low"), F.max("hash").alias("high"))
         so_far = F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-        ends = sums.withColumn("end", so_far).where("end >= rest").groupBy("source").agg(F.min(F.struct("bucket", "rest", "end", "size")).alias("x"))
-        edge = cut(ends.select("source", F.col("x.bucket").alias("prefix"), (F.col("x.rest") - (F.col("x.end") - F.col("x.size"))).alias("rest"), F.col("x.size").alias("last")))
-    last = edge.select("source", F.col("prefix").alias("threshold"), (2 * F.col("rest") >= F.col("last")).alias("with_last"))
+        ends = sums.withColumn("end", so_far).where("end >= rest").groupBy("source").agg(F.min(F.struct("bucket", "rest", "end", "size", "low", "high")).alias("x"))
+        edge = cut(ends.select("source", F.col("x.bucket").alias("prefix"), (F.col("x.rest") - (F.col("x.end") - F.col("x.size"))).alias("rest"), F.col("x.size").alias("last"), F.col("x.low").alias("low"), F.col("x.high").alias("high")))
+        if edge.where("low < high").isEmpty():
+            break
+        inside = cut(inside.join(small(edge.select("source", "prefix")), "source").where(bucket == F.col("prefix")).drop("prefix"))
+    last = edge.select("source", F.col("high").alias("threshold"), (2 * F.col("rest") >= F.col("last")).alias("with_last"))
 
     rule = plan.select("source", "full").join(last, "source", "left")
     once_more = F.coalesce((F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("with_last")), F.lit(False))
