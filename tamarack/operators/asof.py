@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Days from the first day that is counted to 1970-01-01: day numbers of the years 1 to 9999 are positive.
-_SHIFT = 719_528
-#: A page holds 2**_LOW days; 2**_HIGH pages span every date.
-_LOW, _HIGH = 9, 13
-#: Page number of the one page whose leaves are whole pages.
-_ROOT = -1
+#: Levels of the time axis: 2**_BITS days, of which every date of the years 1 to 9999 is one.
+_BITS = 23
+#: Days from the first day of the axis to 1970-01-01. 2050-01-01 is its middle, so that an interval of our times without an end
+#: is cut into few nodes: those up to the middle, and the second half as one.
+_SHIFT = (1 << 22) - 29_220
 
 
 def day_number(date: Column) -> Column:
@@ -20,33 +19,22 @@ def day_number(date: Column) -> Column:
     return F.unix_date(date.cast("date")) + F.lit(_SHIFT)
 
 
-def _fragments(lo: Column, hi: Column) -> Column:
-    """[lo, hi) as at most three fragments: a rest in its first page, a run of whole pages, a rest in its last page.
+#: Whether the cover of the days [_lo, _hi) has a node at height k right of its lower bound, or left of its upper one, and their places.
+_LEFT = "shiftright(_lo + shiftleft(1, k) - 1, k)"
+_RIGHT = "shiftright(_hi, k) - 1"
+_HAS_LEFT = f"({_LEFT} <= {_RIGHT} and ({_LEFT} & 1) = 1)"
+_HAS_RIGHT = f"({_LEFT} <= {_RIGHT} and ({_RIGHT} & 1) = 0)"
 
-    Each is (page, a, b), the leaves [a, b) of a page.
-    """
-    first, last = F.shiftright(lo, _LOW), F.shiftright(hi - 1, _LOW)
-    piece = lambda page, a, b: F.struct(page.cast("int").alias("page"), a.cast("int").alias("a"), b.cast("int").alias("b"))
-    start = lo - F.shiftleft(first, _LOW)
-    one = F.array(piece(first, start, hi - F.shiftleft(first, _LOW)))
-    ends = F.array(piece(first, start, F.lit(1 << _LOW)), piece(last, F.lit(0), hi - F.shiftleft(last, _LOW)))
-    whole = F.array(piece(F.lit(_ROOT), first + 1, last))
-    return F.when(first == last, one).when(first + 1 == last, ends).otherwise(F.concat(ends, whole))
 
+def _cover() -> Column:
+    """The canonical dyadic nodes of the days [_lo, _hi), numbered as in a binary heap: the root is 1, the leaves follow 2**_BITS."""
+    first = f"shiftleft(1, {_BITS} - k)"
+    return F.expr(f"flatten(transform(sequence(0, {_BITS}), k -> filter(array(if({_HAS_LEFT}, {first} + {_LEFT}, null), if({_HAS_RIGHT}, {first} + {_RIGHT}, null)), n -> n is not null)))")
 
-def _nodes() -> Column:
-    """The canonical dyadic nodes of the leaves [a, b) of a page, numbered as in a binary heap, with their height k.
 
-    At height k the node left of an odd bound and the one right of an odd bound belong to the cover.
-    """
-    return F.expr(
-        f"""flatten(transform(sequence(0, if(page = {_ROOT}, {_HIGH}, {_LOW})), k -> filter(array(
-              if(shiftright(a + shiftleft(1, k) - 1, k) < shiftright(b, k) and (shiftright(a + shiftleft(1, k) - 1, k) & 1) = 1,
-                 struct(shiftleft(1, if(page = {_ROOT}, {_HIGH}, {_LOW}) - k) + shiftright(a + shiftleft(1, k) - 1, k) as id, k as k), null),
-              if(shiftright(a + shiftleft(1, k) - 1, k) < shiftright(b, k) and (shiftright(b, k) & 1) = 1,
-                 struct(shiftleft(1, if(page = {_ROOT}, {_HIGH}, {_LOW}) - k) + shiftright(b, k) - 1 as id, k as k), null)
-            ), n -> n is not null)))"""
-    )
+def _levels() -> Column:
+    """The levels (0: the root) of these nodes, as bits."""
+    return F.expr(f"aggregate(sequence(0, {_BITS}), 0, (m, k) -> m | if({_HAS_LEFT} or {_HAS_RIGHT}, shiftleft(1, {_BITS} - k), 0))")
 
 
 def as_of_join(
@@ -69,12 +57,12 @@ def as_of_join(
     the one with the latest ``valid_from``, then the highest ``rule_id`` wins. Returns
     ``event_id``, ``rule_id`` and ``payload``, one row for each event that has a rule.
 
-    Each usable interval is cut into canonical dyadic nodes; a node belongs to the page that is
-    its ancestor, of which an event has two, so that events equi-join all their enclosing nodes
-    by two page keys. Rules with the same cover, then rules on the same node are reduced to the
-    winner before they meet events: a page holds at most one entry for each of its nodes however
-    many rules a key has, and no pairs of a hot key are built. A redundant join key makes both
-    sides plain shuffles of the join, which adaptive execution can split where a key is hot.
+    Each usable interval is cut into canonical dyadic nodes of the time axis, and an event
+    equi-joins all nodes that enclose its day, one for each level at which its key has any (a bit
+    mask by key). Rules with the same interval, then rules on the same node are reduced to the
+    winner before they meet events: a key holds at most one row for each node of the calendar,
+    however many rules it has, and an event meets at most one rule a level. Both joins of events
+    are plain shuffles on both sides, which adaptive execution can split where a key is hot.
 
     Nulls: events with a null id, key or date and rules with a null key, id, ``valid_from`` or
     ``known_from`` match nothing. Repeated events or rules change nothing. Rules that end before
@@ -84,7 +72,7 @@ def as_of_join(
     names = [f"_k{i}" for i in range(len(keys))]
     start = day_number(F.col(valid_from))
     lo = F.when(F.col(known_from).isNotNull(), F.greatest(start, day_number(F.col(known_from)))) if known_from else start
-    hi = F.when(F.col(valid_to).isNull(), F.lit(1 << (_LOW + _HIGH))).otherwise(day_number(F.col(valid_to)) + 1)
+    hi = F.when(F.col(valid_to).isNull(), F.lit(1 << _BITS)).otherwise(day_number(F.col(valid_to)) + 1)
     best = F.struct(start.alias("since"), F.col(rule_id).alias("rule"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(payload)])
     usable = (
         rules.where(F.col(rule_id).isNotNull() & F.col(valid_from).isNotNull())
@@ -92,38 +80,20 @@ def as_of_join(
         .where(F.col("_lo") < F.col("_hi"))
         .dropna(subset=names)
     )
-    covers = (
-        usable.select(*names, "_best", F.explode(_fragments(F.col("_lo"), F.col("_hi"))).alias("_f"))
-        .groupBy(*names, F.col("_f.page").alias("page"), F.col("_f.a").alias("a"), F.col("_f.b").alias("b"))
-        .agg(F.max("_best").alias("_best"))
-    )
-    pages = (
-        covers.repartition(*names, "page")
-        .select(*names, "page", "_best", F.explode(_nodes()).alias("_n"))
-        .groupBy(*names, "page", F.col("_n.id").alias("id"), F.col("_n.k").alias("k"))
-        .agg(F.max("_best").alias("_best"))
-        .groupBy(*names, "page")
-        .agg(F.collect_list(F.struct("id", "k", F.col("_best").alias("best"))).alias("_nodes"))
-        .withColumn("tier", (F.col("page") == _ROOT).cast("int"))
-    )
-    day = day_number(F.col(event_date))
-    leaf = F.array(
-        F.struct(F.shiftright(day, _LOW).cast("int").alias("page"), F.lit(0).alias("tier"), ((1 << _LOW) + day.bitwiseAND((1 << _LOW) - 1)).cast("int").alias("leaf")),
-        F.struct(F.lit(_ROOT).alias("page"), F.lit(1).alias("tier"), ((1 << _HIGH) + F.shiftright(day, _LOW)).cast("int").alias("leaf")),
-    )
+    covers = usable.groupBy(*names, "_lo", "_hi").agg(F.max("_best").alias("_best")).repartition(*names)
+    nodes = covers.select(*names, "_best", F.explode(_cover()).alias("node")).groupBy(*names, "node").agg(F.max("_best").alias("_best"))
+    # A redundant key makes the join with events a shuffle of its own.
+    twice = F.pmod(F.xxhash64(*names), F.lit(2)).alias("_r")
+    levels = usable.groupBy(*names).agg(F.bit_or(_levels()).alias("_mask")).select(*names, twice, "_mask")
     asked = (
         events.where(F.col(event_id).isNotNull() & F.col(event_date).isNotNull())
-        .select(F.col(event_id).alias("_event"), *[F.col(e).alias(f"_k{i}") for i, (e, _) in enumerate(keys)], leaf.alias("_leaf"))
+        .select(F.col(event_id).alias("_event"), *[F.col(e).alias(f"_k{i}") for i, (e, _) in enumerate(keys)], day_number(F.col(event_date)).alias("_day"))
         .dropna(subset=names)
-        .select("_event", *names, F.inline("_leaf"))
-    )
-    found = (
-        asked.join(pages, [*names, "page", "tier"])
-        .select("_event", F.expr("array_max(transform(filter(_nodes, n -> shiftright(leaf, n.k) = n.id), n -> n.best))").alias("_best"))
-        .where("_best is not null")
-        .groupBy("_event")
-        .agg(F.max("_best").alias("_best"))
+        .select("*", twice)
+        .join(levels, [*names, "_r"])
     )
+    enclosing = F.expr(f"transform(filter(sequence(0, {_BITS}), d -> (shiftright(_mask, d) & 1) = 1), d -> shiftleft(1, d) + shiftright(_day, {_BITS} - d))")
+    found = asked.select("_event", *names, F.explode(enclosing).alias("node")).join(nodes, [*names, "node"]).groupBy("_event").agg(F.max("_best").alias("_best"))
     return found.select(
         F.col("_event").alias(event_id), F.col("_best.rule").alias(rule_id), *[F.col(f"_best.p{i}").alias(c) for i, c in enumerate(payload)]
     )
