@@ -224,3 +224,16 @@ def desc(x: Column | str) -> Column:
 def exact(x: Column, scale: int = 4) -> Column:
     """A double as a decimal, so that sums don't depend on their order."""
     return x.cast(f"decimal(18,{scale})")
+
+
+def round_qty(quantity: Column, unit: Column, digits: Column) -> Column:
+    """A quantity rounded to the digits of its unit (``digits``: a map by unit); four where the unit is unknown or null."""
+    n = F.coalesce(F.try_element_at(digits, unit), F.lit(4))
+    return F.round(quantity.cast("decimal(28,10)") * F.pow(F.lit(10), n).cast("decimal(10,0)"), 0) / F.pow(F.lit(10), n).cast("decimal(10,0)")
+
+
+def format_qty(quantity: Column, unit: Column, digits: Column) -> Column:
+    """A quantity with thousands separators, the digits of its unit (two where it is unknown) and the unit behind, if there is one."""
+    n = F.coalesce(F.try_element_at(digits, unit), F.lit(2))
+    shown = F.element_at(F.array(*[to_char_number(quantity, "FM999,999,999,990" + ("." + "0" * i if i else "")) for i in range(7)]), (F.least(n, F.lit(6)) + 1).cast("int"))
+    return F.when(quantity.isNotNull(), F.concat_ws(" ", shown, unit))

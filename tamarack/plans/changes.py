@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarack.functions import ora as o
 from tamarack.operators.changes import net_changes, row_changes, split_before
 from tamarack.operators.inventory import issue, receive, transfers
-from tamarack.operators.relational import merge_into, ranked, running, split_rejects, with_ties
+from tamarack.operators.relational import merge_into, next_values, ranked, running, split_rejects, with_ties
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 
@@ -204,11 +204,20 @@ def supplier_rank(s: S, d: str) -> DataFrame:
     return y.join(by_total, "s_suppkey").join(by_n, "s_suppkey").crossJoin(F.broadcast(whole)).select("s_suppkey", "total", "by_total", "by_n", F.round(100 * F.col("total") / F.nullif("whole", F.lit(0.0)), 4).alias("share"))
 
 
-@P.query("SELECT o_orderpriority, CASE WHEN days <= 365 THEN '1y' WHEN days <= 1095 THEN '3y' ELSE 'old' END AS age, count(*) AS n FROM (SELECT o_orderpriority, datediff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS days FROM orders) GROUP BY 1, 2")
-def aging_buckets(s: S, d: str) -> DataFrame:
-    """Age buckets as of a stated day."""
-    days = F.datediff(F.lit("2000-01-01").cast("date"), F.col("o_orderdate").cast("date"))
-    return t(s, d, "orders").groupBy("o_orderpriority", F.when(days <= 365, "1y").when(days <= 1095, "3y").otherwise("old").alias("age")).agg(F.count("*").alias("n"))
+@P.query(f"""
+    SELECT lot, item_id, age_days, CASE WHEN age_days <= 30 THEN '0-30' WHEN age_days <= 60 THEN '31-60' WHEN age_days <= 90 THEN '61-90' ELSE '90+' END AS age_bucket, ntile(4) OVER (ORDER BY age_days, lot) AS age_quartile, round(CAST(avail AS DOUBLE) / CAST(sum(avail) OVER () AS DOUBLE) * 100, 6) AS qty_pct
+    FROM (SELECT *, datediff('day', received, DATE '2028-12-31') AS age_days FROM ({_LOTS}))""")
+def stock_aging(s: S, d: str) -> DataFrame:
+    """Lots by age as of a stated day: buckets, quartiles over the whole stock, shares of it; no window in one task."""
+    x = _lots(s, d).select("lot", "item_id", "avail", F.datediff(F.lit("2028-12-31").cast("date"), "received").alias("age_days"))
+    x = next_values(x, "_n", 1, "age_days", "lot")
+    whole = x.agg(F.sum("avail").alias("_all"), F.count("*").alias("_rows"))
+    age, low, more = F.col("age_days"), F.expr("_rows div 4"), F.expr("_rows % 4")
+    quartile = F.when(F.col("_n") <= more * (low + 1), F.expr("(_n - 1) div (_rows div 4 + 1)")).otherwise(F.expr("(_n - 1 - _rows % 4) div greatest(_rows div 4, 1)")) + 1
+    return x.crossJoin(F.broadcast(whole)).select(
+        "lot", "item_id", "age_days", F.when(age <= 30, "0-30").when(age <= 60, "31-60").when(age <= 90, "61-90").otherwise("90+").alias("age_bucket"), quartile.cast("long").alias("age_quartile"),
+        F.round(F.col("avail").cast("double") / F.col("_all").cast("double") * 100, 6).alias("qty_pct"),
+    )
 
 
 @P.query("SELECT so_id, so_line_id, row_number() OVER (PARTITION BY so_id ORDER BY so_line_id) * 10 AS line_no FROM (SELECT DISTINCT so_id, so_line_id FROM t_so_line)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import connect_by as h
 from tamarack.operators import graph as g
-from tamarack.operators.model import iterate, moving_average, trend
+from tamarack.operators.model import Rule, iterate, model, moving_average, trend
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 
@@ -56,12 +56,13 @@ def connect_by_nocycle(s: S, d: str) -> DataFrame:
     return h.connect_by(e, e.select("a"), parent="a", child="b", root="a").select("root", "item", "level", "is_leaf", "is_cycle")
 
 
-@P.query("""
-    WITH RECURSIVE x AS (SELECT 1 AS lvl, CAST(1 AS BIGINT) AS n UNION ALL SELECT lvl + 1, n * 2 FROM x WHERE lvl < 12) SELECT lvl, n FROM x""")
-def recursive_with(s: S, d: str) -> DataFrame:  # noqa: ARG001
-    """Recursive WITH."""
-    return s.sql("WITH RECURSIVE x(lvl, n) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT lvl + 1, n * 2 FROM x WHERE lvl < 12) SELECT lvl, n FROM x")
+_HALVES = "SELECT n_nationkey AS start, n_nationkey AS k, 1 AS lvl FROM nation UNION ALL SELECT start, CAST(floor(k / 2) AS INT), lvl + 1 FROM x WHERE k > 0"
+
 
+@P.query(f"WITH RECURSIVE x AS ({_HALVES}) SELECT start, k, lvl FROM x")
+def recursive_with(s: S, d: str) -> DataFrame:
+    """Recursive WITH over a table, as Spark runs it; its limits of levels and rows are why hierarchies have an operator."""
+    return s.sql(f"WITH RECURSIVE x(start, k, lvl) AS ({_HALVES.replace('FROM nation', 'FROM {nation}')}) SELECT start, k, lvl FROM x", nation=t(s, d, "nation"))
 
 
 @P.query("""
@@ -110,6 +111,19 @@ def model_trend(s: S, d: str) -> DataFrame:
     return iterate(_monthly(s, d), ["c_nationkey"], "n", "qty", anchor=-1, window=4, ahead=6, rule=trend(3))
 
 
+@P.query(f"""
+    WITH RECURSIVE c AS ({_CELLS}), w AS (SELECT c_nationkey, -1 AS n, q3 AS a, q2 AS b, q1 AS c FROM c UNION ALL SELECT c_nationkey, n + 1, b, c, greatest((a + b + c) / 3.0, 0.0) FROM w WHERE n < 3),
+    f AS (SELECT c_nationkey, n, c AS qty FROM w WHERE n >= 0)
+    SELECT c_nationkey, n, round(qty, 4) AS qty, CASE WHEN n = 2 THEN round(sum(qty) FILTER (WHERE n <= 2) OVER (PARTITION BY c_nationkey), 4) END AS quarter FROM f""")
+def model_rules(s: S, d: str) -> DataFrame:
+    """MODEL with several measures and rules, UPSERT, ITERATE ... UNTIL, FOR ranges and CV()."""
+    cells = _monthly(s, d).withColumn("quarter", F.lit(None).cast("double"))
+    forecast = Rule("qty", lambda i: i, lambda i, cv, cell: F.greatest((cell("qty", cv - 3) + cell("qty", cv - 2) + cell("qty", cv - 1)) / 3.0, F.lit(0.0)))
+    total = Rule("quarter", lambda i: F.sequence(F.lit(2), F.when(i == 3, 2).otherwise(1), F.when(i == 3, 1).otherwise(-1)), lambda i, cv, cell: cell("qty", cv - 2) + cell("qty", cv - 1) + cell("qty", cv), many=True, upsert=False)
+    out = model(cells, ["c_nationkey"], "n", ["qty", "quarter"], [forecast, total], iterations=1000, until=lambda i, cell: i + 1 >= 4, keep_nav=False, between=(-3, -1))
+    return out.where("n >= 0").select("c_nationkey", F.col("n").cast("int").alias("n"), F.round("qty", 4).alias("qty"), F.when(F.col("n") == 2, F.round("quarter", 4)).alias("quarter"))
+
+
 # Graphs: items and what their bills use, loops included
 
 _CALLS = "SELECT DISTINCT h.item_id AS a, l.component_item_id AS b FROM t_bom_header h JOIN t_bom_line l ON l.bom_id = h.bom_id"

@@ -69,10 +69,10 @@ def join_semi(s: S, d: str) -> DataFrame:
     return t(s, d, "customer").select("c_custkey").join(t(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@P.query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@P.query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 200000)")
 def join_anti(s: S, d: str) -> DataFrame:
     """NOT EXISTS as an anti join."""
-    return t(s, d, "customer").select("c_custkey").join(t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return t(s, d, "customer").select("c_custkey").join(t(s, d, "orders").where("o_orderstatus = 'P' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @P.query("SELECT 'with null' AS kind, count(*) AS n FROM nation WHERE n_regionkey NOT IN (SELECT CASE WHEN r_regionkey = 2 THEN NULL ELSE r_regionkey END FROM region) UNION ALL SELECT 'without', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3)")

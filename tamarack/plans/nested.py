@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.functions import ora as o
 from tamarack.operators import nested as n
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
@@ -100,3 +101,23 @@ def object_subtypes(s: S, d: str) -> DataFrame:
     """Subtype dispatch (UNDER, OVERRIDING) by a discriminator."""
     kind = F.col("item_type")
     return t(s, d, "t_item").select("item_id", F.when(kind == "SVC", "NONE").when(kind == "RAW", "FIFO").otherwise("STD").alias("method"), F.when(kind == "SVC", "N").otherwise("Y").alias("stocked")).distinct()
+
+
+@P.query("""SELECT DISTINCT i.item_id, i.item_code, i.item_name, i.item_type, i.category_id, u.factor IS NOT NULL AS has_unit, CAST(i.dim.length_cm AS DOUBLE) AS length_cm, CAST(i.dim.weight_kg AS DOUBLE) AS weight_kg,
+    CAST(coalesce(i.dim.length_cm, 0) * coalesce(i.dim.width_cm, 0) * coalesce(i.dim.height_cm, 0) AS DOUBLE) AS volume_cm3 FROM t_item i LEFT JOIN (SELECT from_uom, max(factor) AS factor FROM t_uom_conversion GROUP BY 1) u ON u.from_uom = i.base_uom""")
+def item_view(s: S, d: str) -> DataFrame:
+    """A flat view over objects: fields, a method and a left join."""
+    units = t(s, d, "t_uom_conversion").groupBy(F.col("from_uom").alias("base_uom")).agg(F.max("factor").alias("factor"))
+    x = t(s, d, "t_item").select("item_id", "item_code", "item_name", "item_type", "category_id", "base_uom", "dim").distinct().join(units, "base_uom", "left")
+    return x.select(
+        "item_id", "item_code", "item_name", "item_type", "category_id", F.col("factor").isNotNull().alias("has_unit"), F.col("dim.length_cm").cast("double").alias("length_cm"), F.col("dim.weight_kg").cast("double").alias("weight_kg"), n.volume_cm3(F.col("dim")).cast("double").alias("volume_cm3")
+    )
+
+
+@P.query("""SELECT DISTINCT so_line_id, CAST(CASE uom WHEN 'KG' THEN round(qty_ordered, 3) WHEN 'EA' THEN round(qty_ordered, 0) WHEN 'M' THEN round(qty_ordered, 2) ELSE qty_ordered END AS DOUBLE) AS rounded,
+    CASE WHEN qty_ordered IS NOT NULL THEN concat_ws(' ', CASE uom WHEN 'KG' THEN format('{:,.3f}', CAST(round(qty_ordered, 3) AS DECIMAL(18,3))) WHEN 'EA' THEN format('{:,}', CAST(round(qty_ordered, 0) AS BIGINT)) ELSE format('{:,.2f}', CAST(round(qty_ordered, 2) AS DECIMAL(18,2))) END, uom) END AS shown FROM t_so_line""")
+def quantities_shown(s: S, d: str) -> DataFrame:
+    """Quantities rounded and written by the digits of their unit."""
+    digits = F.create_map(F.lit("EA"), F.lit(0), F.lit("M"), F.lit(2), F.lit("KG"), F.lit(3))
+    x = t(s, d, "t_so_line").select("so_line_id", "qty_ordered", "uom").distinct()
+    return x.select("so_line_id", o.round_qty(F.col("qty_ordered"), F.col("uom"), digits).cast("double").alias("rounded"), o.format_qty(F.col("qty_ordered"), F.col("uom"), digits).alias("shown")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,26 @@ def read_partition(spark: SparkSession, path: str, value: str, *, by: str = "qua
     return spark.read.parquet(path).where(F.col(f"_{by}") == value).drop(f"_{by}")
 
 
+def publish(df: DataFrame, path: str) -> None:
+    """Writes ``df`` as parquet in the place of ``path``: aside first, then by renaming.
+
+    A write that fails, or is lost with an executor, leaves the old files as they are; ``df`` may
+    itself read them.
+    """
+    spark, aside = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, old = hadoop.Path(aside), hadoop.Path(path)
+    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    if not system.rename(new, old):
+        raise OSError(f"{aside} could not be renamed to {path}")
+
+
 def write_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """A version of a table beside its other versions."""
-    df.write.mode("overwrite").parquet(f"{path}/_snapshot={version}")
+    """A version of a table beside its other versions, published whole or not at all."""
+    df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path))
+    publish(df, f"{path}/_snapshot={version}")
 
 
 def as_of(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -51,7 +69,7 @@ def versions_between(spark: SparkSession, path: str, first: int, last: int) -> D
 
 def refresh(df: DataFrame, path: str) -> DataFrame:
     """CREATE TABLE AS SELECT, or the refresh of a materialized view: the stored result."""
-    df.write.mode("overwrite").parquet(path)
+    publish(df, path)
     return df.sparkSession.read.parquet(path)
 
 

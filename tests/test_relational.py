@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import ora as o
 from tamarack.operators import relational as r
-from tamarack.operators.changes import row_changes
-from tamarack.operators.model import iterate, moving_average, trend
+from tamarack.operators.changes import returning, row_changes
+from tamarack.operators.model import Rule, iterate, model, moving_average, trend
 from tamarack.session import checkpoint_dir, cut
 
 
@@ -178,3 +178,52 @@ def test_small_goes_by_bytes(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     wide = cut(spark.range(3).select("id", F.repeat(F.lit("x"), 100_000).alias("t")))
     assert hinted(small(spark.range(3).toDF("a"), 500)) and not hinted(small(wide, 500)) and hinted(small(wide))
+
+
+def test_model_rules_see_each_other(spark):
+    cells = spark.createDataFrame([("p", 1, 1.0, None), ("p", 2, None, 5.0), ("q", 7, 2.0, 3.0), ("q", None, 9.0, 9.0)], "p string, n int, a double, b double")
+    double = Rule("a", lambda i: F.array(F.lit(3), F.lit(4)), lambda i, cv, cell: cell("a", cv - 1) + 1, many=True)
+    change = Rule("b", lambda i: F.lit(2), lambda i, cv, cell: cell("a", F.lit(3)) * 10, upsert=False)
+    got = {(r["p"], r["n"]): (r["a"], r["b"]) for r in model(cells, ["p"], "n", ["a", "b"], [double, change], keep_nav=False).collect()}
+    assert got == {("p", 1): (1.0, None), ("p", 2): (None, 10.0), ("p", 3): (1.0, None), ("p", 4): (2.0, None), ("q", 7): (2.0, 3.0), ("q", 3): (1.0, None), ("q", 4): (2.0, None)}
+    kept = {(r["p"], r["n"]): r["a"] for r in model(cells, ["p"], "n", ["a"], [double]).collect()}
+    assert kept["p", 3] is None and kept["p", 4] is None
+    step = Rule("a", lambda i: i + 10, lambda i, cv, cell: i.cast("double"))
+    made = model(cells, ["p"], "n", ["a"], [step], iterations=50, until=lambda i, cell: cell("a", i + 10) >= 2, between=(1, 2))
+    assert sorted(r["n"] for r in made.where("p = 'p'").collect()) == [1, 2, 10, 11, 12]
+    assert model(cells.limit(0), ["p"], "n", ["a"], [step]).count() == 0
+
+
+def test_returning(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "x"), (4, "n"), (3, None)], "k int, v string")
+    assert sorted(map(tuple, returning(old, new, ["k"]).collect())) == [(2, "UPDATE", "x"), (4, "INSERT", "n")]
+    assert sorted(map(tuple, returning(old, new.limit(0), ["k"]).collect())) == [(1, "DELETE", "a"), (2, "DELETE", "b"), (3, "DELETE", None)]
+
+
+def test_the_error_of_an_approximate_count(spark):
+    df = spark.range(50_000).select((F.col("id") % 20_000).alias("x"))
+    assert abs(df.agg(F.approx_count_distinct("x", 0.02)).first()[0] - 20_000) < 0.06 * 20_000
+
+
+def test_samples_hang_on_the_key_only(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 100).alias("block"))
+    one = {x["id"] for x in r.sampled(df, ["id"], 10, 7).collect()}
+    assert one == {x["id"] for x in r.sampled(df.repartition(7), ["id"], 10, 7).collect()} and abs(len(one) - 2000) < 200
+    assert r.sampled(df, ["block"], 30, 1).groupBy("block").count().where("count != 200").isEmpty()
+    assert r.sampled(df, ["id"], 0, 7).count() == 0 and r.sampled(df, ["id"], 100, 7).count() == 20_000
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master, _jsc = "spark://host:7077", spark.sparkContext._jsc
+
+        def getConf(self):  # noqa: N802
+            return spark.sparkContext.getConf()
+
+    class Session:
+        sparkContext, conf = Context(), spark.conf
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(Session())
