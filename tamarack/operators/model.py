@@ -78,13 +78,12 @@ def model(
     A partition's cells are one map a measure, folded by its rules: no loop of jobs, no Python. A
     partition is a row, so that rules that need only some cells should say ``between`` which
     places; then nothing else is read into the map or returned. A place that occurs twice in a
-    partition raises, as MODEL does. Null places are left out.
+    partition raises, as MODEL does. Null places are left out; a partition without any other is there, but has no cells.
     """
     place = F.col(dimension).cast("long")
-    if between:
-        cells = cells.where(place.between(*between))
-    pairs = F.sort_array(F.collect_list(F.struct(place.alias("n"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(measures)])))
-    rows = cells.where(place.isNotNull()).groupBy(*partition).agg(pairs.alias("_cells"))
+    wanted = place.isNotNull() & place.between(*between) if between else place.isNotNull()
+    cell_ = F.struct(place.alias("n"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(measures)])
+    rows = cells.groupBy(*partition).agg(F.sort_array(F.collect_list(F.when(wanted, cell_))).alias("_cells"))
     names = [f"m{i}" for i in range(len(measures))]
     places = F.col("_cells")["n"]
     start = F.struct(*[F.map_from_arrays(places, F.col("_cells")[n]).alias(n) for n in names], F.lit(False).alias("done"))
