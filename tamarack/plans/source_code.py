@@ -43,18 +43,6 @@ def src_parameters(s: S, d: str) -> DataFrame:
     return _facts(s, d).where("fact = 'parameter'").select("file_id", "package", F.substring_index("unit", "@", 1).alias("routine"), "pos", "name", "mode", "type", F.col("detail").alias("default_value"), "line_start")
 
 
-@P.query()
-def src_calls(s: S, d: str) -> DataFrame:
-    """Call edges between known routines."""
-    return plsql.calls(_facts(s, d))
-
-
-@P.query()
-def src_package_refs(s: S, d: str) -> DataFrame:
-    """Constants, types and variables of other packages that routines use."""
-    return plsql.package_refs(_facts(s, d))
-
-
 @P.query("""
     WITH f AS (SELECT file_id, source_text, len(source_text) - len(replace(source_text, chr(10), '')) + 1 AS n FROM src_file WHERE source_text IS NOT NULL), r AS (SELECT file_id, source_text, CAST(n // 3 + 1 AS INTEGER) AS first_line, CAST(n AS INTEGER) AS last_line FROM f)
     SELECT file_id, first_line, last_line, array_to_string(string_split(source_text, chr(10))[first_line:last_line], chr(10)) AS source FROM r""")
