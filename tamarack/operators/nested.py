@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,33 +89,46 @@ def xml_table(df: DataFrame, column: str, row_path: str, fields: dict[str, tuple
     """XMLTABLE(row_path PASSING column COLUMNS name type PATH path): one row for each node of ``row_path``.
 
     ``fields`` names for each column its type and its path below the node: 'a/b', '@attribute',
-    'a/@attribute' or '.' for the node's own text. A missing child is null in its own row, of
+    'a/@attribute', '.' for the node's own text or '../@attribute' for its parent's. A missing child is null in its own row, of
     repeated children the first counts, a value of another type is null. The document is parsed
     once. Null or broken XML gives no row.
     """
     keep = [c for c in df.columns if c != column]
     steps = [x for x in row_path.split("/") if x]
     tree: dict = {}
+    above = {"_" + path.removeprefix("../@"): {} for _, path in fields.values() if path.startswith("../@")}
     for _, path in fields.values():
+        if path.startswith("../"):
+            continue
         at = tree
         for part in [x for x in path.split("/") if x not in {"", "."}]:
             at = at.setdefault("_" + part[1:] if part.startswith("@") else part, {})
         if path in {"", "."}:
             tree.setdefault("_VALUE", {})
-    row = _xml_type(tree)
-    kind = f"array<{row}>"
-    for step in reversed(steps[1:]):
-        kind = f"struct<`{step}`: {kind}>"
-        kind = kind if step == steps[1] else f"array<{kind}>"
+    kind = _xml_type(tree)
+    for n, step in enumerate(reversed(steps[1:])):
+        attributes = "".join(f"`{k}`: string, " for k in above) if n == 0 else ""
+        kind = f"struct<{attributes}`{step}`: array<{kind}>>"
     options = {"rowTag": steps[0], "valueTag": "_VALUE", "attributePrefix": "_", "mode": "PERMISSIVE"}
-    parsed = F.from_xml(F.col(column), kind, options) if len(steps) > 1 else F.array(F.from_xml(F.col(column), row, options))
-    rows = df.where(F.col(column).isNotNull()).select(*keep, parsed.alias("_x"))
-    for n, step in enumerate(steps[1:]):
-        inside = F.col("_x")[step]
-        rows = rows.withColumn("_x", F.flatten(inside) if n else inside)
-    rows = rows.select(*keep, F.posexplode("_x").alias("_i", "_x")).where("_x is not null")
+    nodes = F.array(F.from_xml(F.col(column), kind, options))
+    for step in steps[1:]:
+        below = F.transform(F.filter(nodes, lambda x: x.isNotNull()), _children(step, list(above) if step is steps[-1] else []))
+        nodes = F.flatten(F.filter(below, lambda x: x.isNotNull()))
+    rows = df.where(F.col(column).isNotNull()).select(*keep, F.posexplode(nodes).alias("_i", "_x"))
+    rows = rows.where("_x.x is not null" if above else "_x is not null")
+    node, up = (F.col("_x")["x"], F.col("_x")) if above else (F.col("_x"), F.col("_x"))
+    value = lambda path: up["_" + path.removeprefix("../@")] if path.startswith("../") else _xml_value(node, path)
     number = [(F.col("_i") + 1).alias(ordinality)] if ordinality else []
-    return rows.select(*keep, *number, *[_xml_value(F.col("_x"), path).try_cast(kind).alias(n) for n, (kind, path) in fields.items()])
+    return rows.select(*keep, *number, *[value(path).try_cast(kind).alias(n) for n, (kind, path) in fields.items()])
+
+
+def _children(step: str, above: Sequence[str]) -> Callable[[Column], Column]:
+    """The children ``step`` of a node, each beside the node's attributes ``above`` if any are asked for; null where there is none."""
+
+    def of(node: Column) -> Column:
+        return F.transform(node[step], lambda x: F.struct(x.alias("x"), *[node[k].alias(k) for k in above])) if above else node[step]
+
+    return of
 
 
 def _xml_type(tree: dict) -> str:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.operators.hierarchy import components
-from tamarack.operators.nested import xml_forest, xml_table
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
-from tamarack.sources import plsql
+from tamarack.sources import plsql, reports
 
 P = Plans()
 S = SparkSession
@@ -138,14 +137,20 @@ def consistency_both_ways(s: S, d: str) -> DataFrame:
     return a.join(b, "k", "left_anti").withColumn("finding", F.lit("missing in b")).unionByName(b.join(a, "k", "left_anti").withColumn("finding", F.lit("missing in a")))
 
 
-@P.query("""SELECT o_orderpriority AS phase, round(done / n, 6) AS ratio, done / n >= 0.49 AS g_ratio, bool_ok AS all_passed, CASE WHEN NOT bool_ok AND worst > 0 THEN 'fix' ELSE 'ok' END AS outcome FROM (SELECT o_orderpriority, CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) AS done, CAST(count(*) AS DOUBLE) AS n, bool_and(o_totalprice > 900) AS bool_ok, count(CASE WHEN o_totalprice > 400000 THEN 1 END) AS worst FROM orders GROUP BY 1)""")
+_UNITS_DONE = """SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus <> 'P') AS completed, count(DISTINCT o_orderpriority) + 6 AS methods, avg(o_totalprice) / 3000 AS score, bool_and(o_totalprice > 20000) AS all_passed,
+      count(*) FILTER (WHERE o_totalprice > 450000) AS must_fix, min(o_totalprice) > 2000 AS compiled, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 60000) AS passed_tests, count(*) FILTER (WHERE o_orderstatus = 'F') AS total_tests FROM orders GROUP BY 1"""
+
+
+@P.query(f"""WITH u AS ({_UNITS_DONE}) SELECT o_custkey, g.gate, CASE g.gate WHEN 'G1' THEN total = 0 OR completed / total >= 0.8 WHEN 'G2' THEN methods >= completed WHEN 'G3' THEN score >= 70 WHEN 'G4' THEN NOT all_passed OR must_fix = 0 WHEN 'G5' THEN compiled
+    ELSE total_tests = 0 OR passed_tests / total_tests >= 0.7 END AS passed FROM u, (VALUES ('G1'), ('G2'), ('G3'), ('G4'), ('G5'), ('G6')) g(gate)""")
 def quality_gates(s: S, d: str) -> DataFrame:
-    """Gates over counts: a ratio that an empty denominator skips, every row passed, outcome."""
-    x = t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("phase")).agg(
-        F.count(F.when(F.col("o_orderstatus") == "F", 1)).cast("double").alias("done"), F.count("*").cast("double").alias("n"), F.bool_and(F.col("o_totalprice") > 900).alias("all_passed"), F.count(F.when(F.col("o_totalprice") > 400000, 1)).alias("worst")
-    )
-    ratio = F.try_divide("done", "n")
-    return x.select("phase", F.round(ratio, 6).alias("ratio"), F.coalesce(ratio >= 0.49, F.lit(True)).alias("g_ratio"), "all_passed", F.when(~F.col("all_passed") & (F.col("worst") > 0), "fix").otherwise("ok").alias("outcome"))
+    """Six gates over counts of units; what has nothing to judge passes."""
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    x = t(s, d, "orders").groupBy("o_custkey").agg(
+        F.count("*").alias("total"), F.count_if(status != "P").alias("completed"), (F.count_distinct("o_orderpriority") + 6).alias("methods"), (F.avg(price) / 3000).alias("score"), F.bool_and(price > 20000).alias("all_passed"),
+        F.count_if(price > 450000).alias("must_fix"), (F.min(price) > 2000).alias("compiled"), F.count_if((status == "F") & (price > 60000)).alias("passed_tests"), F.count_if(status == "F").alias("total_tests"),
+    )
+    return reports.gates(x, "o_custkey")
 
 
 @P.query("""SELECT p_type, p_size, count(*) AS members, count(DISTINCT p_brand) AS brands, CASE WHEN p_type = 'PROMO' THEN 'exclude' WHEN count(DISTINCT p_brand) >= 2 THEN 'extract' WHEN p_size = 1 THEN 'extract' ELSE 'keep' END AS verdict FROM part GROUP BY 1, 2""")
@@ -162,11 +167,39 @@ def metrics_rollup(s: S, d: str) -> DataFrame:
     return t(s, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), total.alias("cost"), F.round(total / F.count("*"), 6).alias("mean_cost"), F.max("value").alias("worst"))
 
 
-@P.query("SELECT l_orderkey AS report, l_linenumber AS line, CASE l_partkey % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' END AS severity, CASE WHEN l_suppkey % 2 = 0 THEN 'rule ' || l_suppkey END AS message FROM lineitem")
+def _by_order(s: S, d: str, element: Column, head: str, foot: str) -> DataFrame:
+    x = t(s, d, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit(head), F.array_join(F.collect_list(element), ""), F.lit(foot)).alias("xml"))
+    return x.withColumnRenamed("l_orderkey", "report")
+
+
+def _xml(text: str) -> Column:
+    """A text with {column} filled in."""
+    parts = text.replace("}", "{").split("{")
+    return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+@P.query("""SELECT l_orderkey AS report, 'src/F' || l_suppkey || '.java' AS file, l_linenumber AS line, CASE WHEN l_returnflag = 'A' THEN 'major' WHEN l_returnflag = 'N' THEN 'minor' ELSE 'info' END AS severity,
+    CASE WHEN l_linestatus = 'O' THEN 'MethodName' ELSE 'LineLength' END AS rule, CASE WHEN l_linestatus = 'O' THEN 'naming-convention' ELSE 'code-format' END AS category, 'part ' || l_partkey AS message FROM lineitem""")
 def report_findings(s: S, d: str) -> DataFrame:
-    """Findings out of checker reports in XML, some without severity or message."""
-    severity = F.when(F.col("l_partkey") % 3 == 0, "error").when(F.col("l_partkey") % 3 == 1, "warning")
-    message = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("rule "), F.col("l_suppkey").cast("string")))
-    item = F.concat(F.lit('<error line="'), F.col("l_linenumber").cast("string"), F.lit('">'), xml_forest(severity=severity, message=message), F.lit("</error>"))
-    doc = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("report")).agg(F.concat(F.lit("<checkstyle><file>"), F.array_join(F.collect_list(item), ""), F.lit("</file></checkstyle>")).alias("xml"))
-    return xml_table(doc, "xml", "/checkstyle/file/error", {"line": ("int", "@line"), "severity": ("string", "severity"), "message": ("string", "message")})
+    """Findings out of checkstyle reports: attributes of errors and of their files, mapped."""
+    level = F.when(F.col("l_returnflag") == "A", 'severity="error" ').when(F.col("l_returnflag") == "N", 'severity="warning" ').otherwise("")
+    source = F.when(F.col("l_linestatus") == "O", "naming.MethodNameCheck").otherwise("sizes.LineLengthCheck")
+    element = F.concat(_xml('<file name="src/F{l_suppkey}.java"><error line="{l_linenumber}" column="3" '), level, _xml('message="part {l_partkey}" source="checks.'), source, F.lit('"/></file>'))
+    return reports.checkstyle(_by_order(s, d, element, '<?xml version="1.0"?>\n<checkstyle version="9.3"><file name="none"></file>', "</checkstyle>"), "xml").drop("tool")
+
+
+@P.query("""SELECT l_orderkey AS report, 'F' || l_suppkey AS file, l_linenumber AS line, CASE WHEN l_partkey % 5 < 2 THEN 'major' WHEN l_partkey % 5 = 2 THEN 'minor' ELSE 'info' END AS severity, CASE WHEN l_partkey % 2 = 0 THEN 'CloseResource' ELSE 'Unused' END AS rule,
+    CASE WHEN l_partkey % 2 = 0 THEN 'collection-exception' ELSE 'code-format' END AS category, 'part ' || l_partkey AS message FROM lineitem""")
+def report_violations(s: S, d: str) -> DataFrame:
+    """Findings out of PMD reports, with texts of elements."""
+    marked = F.concat(_xml('<file name="F{l_suppkey}"><violation beginline="{l_linenumber}" rule="'), F.when(F.col("l_partkey") % 2 == 0, "CloseResource").otherwise("Unused"), F.lit('" priority="'), (F.col("l_partkey") % 5 + 1).cast("string"), _xml('"> part {l_partkey}\n</violation></file>'))
+    return reports.pmd(_by_order(s, d, marked, '<pmd version="6">', "</pmd>"), "xml").drop("tool")
+
+
+@P.query("SELECT l_orderkey AS report, round(count(*) FILTER (WHERE l_partkey % 3 > 0) / count(*), 8) AS line_rate, round(CAST(sum(l_linenumber % 4) AS DOUBLE) / nullif(sum(l_linenumber % 4 + l_suppkey % 2), 0), 8) AS branch_rate FROM lineitem GROUP BY 1")
+def report_coverage(s: S, d: str) -> DataFrame:
+    """Rates of lines and branches out of coverage reports."""
+    x = _xml('<sourcefile name="F{l_suppkey}"><line nr="{l_linenumber}" mi="1" ci="')
+    element = F.concat(x, (F.col("l_partkey") % 3).cast("string"), F.lit('" mb="'), (F.col("l_suppkey") % 2).cast("string"), F.lit('" cb="'), (F.col("l_linenumber") % 4).cast("string"), F.lit('"/></sourcefile>'))
+    rates = reports.coverage(reports.jacoco(_by_order(s, d, element, '<report name="r"><package name="p">', "</package></report>"), "xml"), "report")
+    return rates.select("report", F.round("line_rate", 8).alias("line_rate"), F.round("branch_rate", 8).alias("branch_rate"))
