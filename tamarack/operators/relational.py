@@ -28,7 +28,7 @@ def exactly_one(df: DataFrame):  # noqa: ANN201
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order, whole, by a window (a top-1 that Spark limits before the shuffle).
+    """The first row of each key in the given order, whole, by a window that Spark limits to one row a key and task before the shuffle.
 
     Where a few columns suffice, max or min of a struct is cheaper (``join_latest_per_key``). ``order`` holds plain ascending or descending columns; the caller adds a unique last one.
     Rows with equal order are decided by the engine. A null key is a key.
@@ -53,6 +53,21 @@ def keep(df: DataFrame, keys: Sequence[str], rank_by: Column, aggregates: dict[s
     return df.join(edge, match).groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+def over_keys(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Aggregates OVER (PARTITION BY keys): each row with its key's aggregates, which are combined before the shuffle and joined back.
+
+    No partition is held in memory. A redundant key makes both sides shuffles of the join, which
+    adaptive execution can split where a key is hot. A null key is a key.
+    """
+    twice = F.pmod(F.xxhash64(*keys), F.lit(2))
+    agg = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[c.alias(n) for n, c in aggregates.items()])
+    agg = agg.withColumn("_r", F.pmod(F.xxhash64(*[f"_{k}" for k in keys]), F.lit(2)))
+    match = twice == F.col("_r")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(agg, match).drop("_r", *[f"_{k}" for k in keys])
+
+
 def with_ties(df: DataFrame, order: Sequence[str | tuple[str, bool]], n: int, *, descending: bool = False) -> DataFrame:
     """FETCH FIRST n ROWS WITH TIES: the first n rows and all that equal the last of them; nulls sort as the largest.
 

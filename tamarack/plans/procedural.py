@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.context import document_number
+from tamarack.operators.relational import over_keys
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 
@@ -48,17 +49,17 @@ def user_aggregate(s: S, d: str) -> DataFrame:
 @P.query("SELECT o_orderkey, round(avg(o_totalprice) OVER w, 6) AS a, min(o_totalprice) OVER w AS lo, max(o_totalprice) OVER w AS hi, count(*) OVER w AS n, round(stddev_pop(o_totalprice) OVER w, 4) AS sd, round(median(o_totalprice) OVER w, 4) AS med FROM orders WINDOW w AS (PARTITION BY o_custkey)")
 def window_aggregates(s: S, d: str) -> DataFrame:
     """AVG, MIN, MAX, COUNT, STDDEV and MEDIAN over whole partitions: aggregates joined back, so that no partition is held in memory."""
-    x = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    p = F.col("o_totalprice")
-    agg = x.groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.avg(p), 6).alias("a"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.count("*").alias("n"), F.round(F.stddev_pop(p), 4).alias("sd"), F.round(F.median(p), 4).alias("med"))
-    return x.join(agg, F.col("o_custkey").eqNullSafe(F.col("k"))).select("o_orderkey", "a", "lo", "hi", "n", "sd", "med")
+    x, p = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), F.col("o_totalprice")
+    found = {"a": F.round(F.avg(p), 6), "lo": F.min(p), "hi": F.max(p), "n": F.count("*"), "sd": F.round(F.stddev_pop(p), 4), "med": F.round(F.median(p), 4)}
+    return over_keys(x, ["o_custkey"], found).select("o_orderkey", *found)
 
 
 @P.query("SELECT o_orderkey, first_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice) AS first_price FROM orders")
 def keep_over(s: S, d: str) -> DataFrame:
     """MIN(x) KEEP (DENSE_RANK FIRST ORDER BY y) OVER (PARTITION BY k)."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_totalprice")
-    return t(s, d, "orders").select("o_orderkey", F.first("o_totalprice").over(w).alias("first_price"))
+    x = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    first = F.min(F.struct("o_orderdate", "o_totalprice"))["o_totalprice"]
+    return over_keys(x, ["o_custkey"], {"first_price": first}).select("o_orderkey", "first_price")
 
 
 @P.query("SELECT o_orderkey, 'SO' || strftime(o_orderdate, '%Y%m%d') || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS doc_no FROM orders")
