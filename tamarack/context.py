@@ -65,6 +65,14 @@ def log_rows(spark: SparkSession, context: EngineContext, errors: list[tuple[Biz
     return spark.createDataFrame([(e.code, "ERROR", module, procedure, str(e)[:_MESSAGE], key, context.operator, at) for e, module, procedure, key in errors], LOG_SCHEMA)
 
 
+def logged(rejects: DataFrame, context: EngineContext, *, code: Column, message: Column, key: Column, module: str, procedure: str, at: dt.datetime) -> DataFrame:
+    """Log rows of rejected rows, as many as there are, in the columns of LOG_SCHEMA; messages are cut as in ``log_rows``."""
+    return rejects.select(
+        code.alias("error_code"), F.lit("ERROR").alias("error_level"), F.lit(module).alias("module_name"), F.lit(procedure).alias("procedure_name"),
+        F.substring(message, 1, _MESSAGE).alias("error_msg"), key.alias("biz_key"), F.lit(context.operator).alias("operator"), F.lit(at).cast("timestamp").alias("occurred_at"),
+    )
+
+
 def counted(df: DataFrame, name: str = "rowcount") -> tuple[DataFrame, Observation]:
     """SQL%ROWCOUNT: the frame, and what counts its rows while it is written."""
     seen = Observation(name)

@@ -260,6 +260,19 @@ def dynamic_pivot(df: DataFrame, keys: Sequence[str], column: str, value: Column
     return out.select(*keys, *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
 
 
+def pivot_xml(df: DataFrame, keys: Sequence[str], column: str, value: Column, *, name: str) -> DataFrame:
+    """PIVOT XML: keys and xml, a PivotSet with one item for each value of ``column`` that the key has, in order.
+
+    No list of values is read first. Signs that XML reserves are escaped; a null value is an empty
+    column.
+    """
+    escaped = F.replace(F.replace(F.replace(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = df.groupBy(*keys, column).agg(value.cast("string").alias("_v"))
+    item = F.concat(F.lit(f'<item><column name="{column.upper()}">'), escaped, F.lit(f'</column><column name="{name.upper()}">'), F.coalesce("_v", F.lit("")), F.lit("</column></item>"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct(F.col(column).alias("c"), item.alias("x")))), lambda r: r["x"])
+    return cells.groupBy(*keys).agg(F.concat(F.lit("<PivotSet>"), F.array_join(items, ""), F.lit("</PivotSet>")).alias("xml"))
+
+
 def hypothetical(df: DataFrame, keys: Sequence[str], column: str, value: float) -> DataFrame:
     """RANK, DENSE_RANK, PERCENT_RANK and CUME_DIST of a value WITHIN GROUP (ORDER BY column), as plain aggregates."""
     x, v = F.col(column), F.lit(value)

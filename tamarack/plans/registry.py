@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.plans import aggregates, bills, changes, dialects, hierarchies, joins, nested, ordering, problems, procedural, scalars, source_code, streams
+from tamarack.plans import aggregates, bills, changes, dialects, hierarchies, joins, nested, ordering, problems, procedural, scalars, source_code, stored, streams
 
-_MODULES = [scalars.P, joins.P, aggregates.P, ordering.P, hierarchies.P, bills.P, changes.P, nested.P, streams.P, source_code.P, dialects.P, procedural.P]
+_MODULES = [scalars.P, joins.P, aggregates.P, ordering.P, hierarchies.P, bills.P, changes.P, nested.P, streams.P, stored.P, source_code.P, dialects.P, procedural.P]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

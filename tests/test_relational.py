@@ -227,3 +227,10 @@ def test_a_cluster_needs_a_shared_folder(spark):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(RuntimeError):
             checkpoint_dir(Session())
+
+
+def test_pivot_xml_escapes(spark):
+    df = spark.createDataFrame([(1, "a<b"), (1, "a<b"), (1, None), (2, "c&d")], "k int, c string")
+    got = {x["k"]: x["xml"] for x in r.pivot_xml(df, ["k"], "c", F.count("*"), name="n").collect()}
+    assert got[2] == '<PivotSet><item><column name="C">c&amp;d</column><column name="N">1</column></item></PivotSet>' and "a&lt;b" in got[1] and got[1].count("<item>") == 2
+    assert r.pivot_xml(df.limit(0), ["k"], "c", F.count("*"), name="n").count() == 0
