@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import bom
 from tamarack.operators.connect_by import low_level_codes as codes
-from tamarack.operators.relational import running
+from tamarack.operators.relational import merge_into, running
 from tamarack.plans.base import Plans
 from tamarack.session import table as t
 
@@ -117,7 +117,10 @@ def _rolled() -> str:
     SELECT item_id, v AS unit_cost FROM (SELECT item_id FROM t_item UNION SELECT p FROM l UNION SELECT c FROM l UNION SELECT item_id FROM h) LEFT JOIN v{_DEEP} ON i = item_id"""
 
 
-@P.query(_rolled())
+_ROLLED = _rolled()
+
+
+@P.query(_ROLLED)
 def rolled_cost(s: S, d: str) -> DataFrame:
     """Unit costs of all items rolled up over their bills in force, rounded at every node; null on and above loops."""
     return bom.unit_costs(*_tables(s, d), AS_OF)
@@ -133,3 +136,12 @@ def low_level_codes(s: S, d: str) -> DataFrame:
     """The deepest level at which each item occurs in any bill in force; null on and below loops."""
     bills = t(s, d, "t_bom_header").where(bom.effective(AS_OF)).select("bom_id", "item_id")
     return codes(bills.join(t(s, d, "t_bom_line").select("bom_id", "component_item_id"), "bom_id"), parent="item_id", child="component_item_id")
+
+
+@P.query(f"SELECT i.item_id, CASE WHEN i.item_id IN (SELECT item_id FROM ({_ROLLED}) WHERE unit_cost IS NOT NULL AND item_id IN (SELECT item_id FROM t_bom_header WHERE is_default = 'Y' AND {_VALID})) THEN r.unit_cost ELSE i.cost END AS std_cost FROM (SELECT DISTINCT item_id, CAST(std_cost AS DOUBLE) AS cost FROM t_item) i LEFT JOIN ({_ROLLED}) r ON r.item_id = i.item_id")
+def rolled_items(s: S, d: str) -> DataFrame:
+    """The items with their standard cost rolled up anew where they have a bill; items on loops keep theirs."""
+    headers, lines, items = _tables(s, d)
+    made = bom.unit_costs(headers, lines, items, AS_OF).where("unit_cost is not null").join(bom.active_bills(headers, AS_OF).select("item_id"), "item_id", "left_semi")
+    old = items.select("item_id", F.col("std_cost").cast("double").alias("std_cost")).distinct()
+    return merge_into(old, made, ["item_id"], update={"std_cost": F.col("s.unit_cost")}, insert_where=F.lit(False))

@@ -236,3 +236,17 @@ def accuracy_windows(s: S, d: str) -> DataFrame:
     prev = F.lag("qty").over(w)
     x = x.withColumn("prev", prev).withColumn("ape", F.abs(F.col("qty") - F.col("prev")) / F.nullif("qty", F.lit(0.0)))
     return x.select("c_nationkey", "m", "qty", F.round("ape", 4).alias("ape"), F.round(F.avg("ape").over(w.rowsBetween(-2, 0)), 6).alias("mape3"), F.round((F.col("qty") - F.col("prev")) / F.nullif("prev", F.lit(0.0)), 4).alias("growth"))
+
+
+@P.query(f"""
+    WITH i AS (SELECT DISTINCT item_id, std_cost, abc_class FROM t_item), v AS (SELECT item_id, CAST(need AS DECIMAL(19,4)) * CAST(std_cost AS DECIMAL(19,6)) AS val FROM ({_NEEDS}) JOIN i USING (item_id)),
+    c AS (SELECT item_id, CAST(sum(val) OVER (ORDER BY val DESC) AS DOUBLE) / CAST(sum(val) OVER () AS DOUBLE) AS cum FROM v)
+    SELECT item_id, CASE WHEN cum IS NULL THEN abc_class WHEN cum <= 0.8 THEN 'A' WHEN cum <= 0.95 THEN 'B' ELSE 'C' END AS abc_class FROM i LEFT JOIN c USING (item_id)""")
+def reclassified_items(s: S, d: str) -> DataFrame:
+    """The items' classes anew, by the cumulative share of what was ordered of them; equal values share a place, items without orders keep theirs."""
+    items = t(s, d, "t_item").select("item_id", "std_cost", "abc_class").distinct()
+    value = _needs(s, d).join(items, "item_id").select("item_id", (F.col("need").cast("decimal(18,4)") * F.col("std_cost").cast("decimal(16,6)")).alias("val"))
+    whole = value.agg(F.sum("val").cast("double").alias("whole"))
+    share = F.col("cum_val").cast("double") / F.col("whole")
+    placed = ranked(value, "val", ["val"]).crossJoin(F.broadcast(whole)).select("item_id", F.when(share <= 0.8, "A").when(share <= 0.95, "B").otherwise("C").alias("abc_class"))
+    return merge_into(items.select("item_id", "abc_class"), placed, ["item_id"], update={"abc_class": F.col("s.abc_class")}, insert_where=F.lit(False))

@@ -124,6 +124,20 @@ def model_rules(s: S, d: str) -> DataFrame:
     return out.where("n >= 0").select("c_nationkey", F.col("n").cast("int").alias("n"), F.round("qty", 4).alias("qty"), F.when(F.col("n") == 2, F.round("quarter", 4)).alias("quarter"))
 
 
+@P.query(f"""
+    WITH RECURSIVE c AS ({_CELLS}), w AS (SELECT m.method, c_nationkey, -1 AS n, [q6, q5, q4, q3, q2, q1] AS q FROM c, (VALUES ('MA3'), ('MA6'), ('TREND')) m(method)
+      UNION ALL SELECT method, c_nationkey, n + 1, list_append(q[2:], greatest(CASE method WHEN 'MA3' THEN (q[4] + q[5] + q[6]) / 3.0 WHEN 'MA6' THEN (q[1] + q[2] + q[3] + q[4] + q[5] + q[6]) / 6.0 ELSE q[6] + (q[6] - q[3]) / 3.0 END, 0.0)) FROM w WHERE n < 2)
+    SELECT method, c_nationkey, CAST(DATE '1998-01-01' + to_months(n) AS DATE) AS period, round(q[6], 4) AS qty FROM w WHERE n >= 0""")
+def forecasts(s: S, d: str) -> DataFrame:
+    """Forecasts by three methods for the months ahead, with method and month as data."""
+    cells, out = _monthly(s, d), None
+    for method, window, rule in (("MA3", 3, moving_average(3)), ("MA6", 6, moving_average(6)), ("TREND", 4, trend(3))):
+        x = iterate(cells, ["c_nationkey"], "n", "qty", anchor=-1, window=window, ahead=3, rule=rule)
+        x = x.select(F.lit(method).alias("method"), "c_nationkey", F.add_months(F.lit("1998-01-01").cast("date"), F.col("n")).alias("period"), "qty")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 # Graphs: items and what their bills use, loops included
 
 _CALLS = "SELECT DISTINCT h.item_id AS a, l.component_item_id AS b FROM t_bom_header h JOIN t_bom_line l ON l.bom_id = h.bom_id"

@@ -89,6 +89,7 @@ def test_bound_parameters(spark, items):
         "SELECT TO_NUMBER(a, '999') FROM t",
         "SELECT * FROM t, JSON_TABLE(t.j, '$[*]' COLUMNS (NESTED PATH '$.k[*]' COLUMNS (a NUMBER PATH '$.a'))) j",
         "SELECT * FROM t, JSON_TABLE(t.j, '$' ERROR ON ERROR COLUMNS (a NUMBER PATH '$.a')) j",
+        "SELECT a FROM t WHERE x IS OF TYPE (y)",
         "WITH FUNCTION f(a NUMBER) RETURN NUMBER IS b NUMBER; BEGIN b := a; RETURN b; END; SELECT f(1) FROM dual",
     ],
 )
@@ -127,3 +128,10 @@ def test_merge_text(spark):
     assert rows(spark, sql, t=t, s=s) == [(1, 15, "m"), (2, 20, "b"), (9, 1, None)]
     with pytest.raises(NotImplementedError):
         run(spark, "MERGE INTO t USING s x ON (t.k > x.key) WHEN MATCHED THEN UPDATE SET t.v = 1", t=t, s=s)
+
+
+def test_is_conditions(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}', 1.0, [1, 2]), (2, "x", float("nan"), [1, 1]), (3, None, float("inf"), [])], "id int, j string, d double, a array<int>")
+    ids = lambda cond: [x[0] for x in rows(spark, f"SELECT id FROM x WHERE {cond}", x=df)]
+    assert ids("j IS JSON") == [1] and ids("j IS NOT JSON") == [2, 3] and ids("j IS NULL") == [3] and ids("j IS NOT NULL AND d IS NAN") == [2]
+    assert ids("d IS INFINITE") == [3] and ids("a IS EMPTY") == [3] and ids("a IS NOT A SET") == [2]
