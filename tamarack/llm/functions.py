@@ -156,9 +156,17 @@ def description(comment: Column) -> Column:
     return F.trim(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, label, "")), " "))
 
 
+def _words(text: Column) -> Column:
+    """The words of a text in lower case, with single blanks between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def says_something(text: Column, name: Column) -> Column:
     """Whether a description is more than nothing, a placeholder or the routine's name."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return _say_something(_words(text), name)
+
+
+def _say_something(words: Column, name: Column) -> Column:
     tight = F.replace(words, F.lit(" "), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(words, rf"\b(?:{_ROUTINE_WORDS})\b", " "), _ROUTINE_SIGNS, " ")
     bare = F.replace(bare, F.lit(" "), F.lit(""))
@@ -172,8 +180,11 @@ def documented_functions(files: DataFrame, *, file_id: str, text: str, code: boo
     code is the source from line_start to line_end (null where no END was found). Repeated files
     with the same id count once.
     """
-    found = routines(files, file_id=file_id, text=text).withColumn("description", description(F.col("comment")))
-    found = found.where(says_something(F.col("description"), F.col("routine_name"))).drop("comment")
+    found = routines(files, file_id=file_id, text=text)
+    # Exploded, so that the description and its words are worked out once and not again for each use of them.
+    found = found.select("*", F.explode(F.array(description(F.col("comment")))).alias("description")).drop("comment")
+    found = found.select("*", F.explode(F.array(_words(F.col("description")))).alias("_words"))
+    found = found.where(_say_something(F.col("_words"), F.col("routine_name"))).drop("_words")
     if code:
         texts = files.groupBy(F.col(file_id).alias("file_id")).agg(F.first(text).alias("_text"))
         part = F.array_join(F.expr("slice(split(_text, '\n'), line_start, line_end - line_start + 1)"), "\n")
