@@ -73,7 +73,7 @@ class Encoder:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(PATTERN).findall
         self.letters = {b: c for b, c in byte_letters().items()}
-        self.bytes = {c: b for b, c in self.letters.items()}
+        self.bytes: list[bytes] = []
         self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -89,7 +89,10 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, by the inverse mapping of letters to bytes."""
-        return bytes(self.bytes[c] for i in ids for c in self.pieces.id_to_piece(i)).decode("utf-8", "surrogatepass")
+        if not self.bytes:
+            of = {c: b for b, c in self.letters.items()}
+            self.bytes = [bytes(of[c] for c in self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size() - 1)]
+        return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "surrogatepass")
 
 
 def _encoder(model: bytes) -> Encoder:
