@@ -234,3 +234,10 @@ def test_pivot_xml_escapes(spark):
     got = {x["k"]: x["xml"] for x in r.pivot_xml(df, ["k"], "c", F.count("*"), name="n").collect()}
     assert got[2] == '<PivotSet><item><column name="C">c&amp;d</column><column name="N">1</column></item></PivotSet>' and "a&lt;b" in got[1] and got[1].count("<item>") == 2
     assert r.pivot_xml(df.limit(0), ["k"], "c", F.count("*"), name="n").count() == 0
+
+
+def test_aggregates_over_keys(spark):
+    df = spark.createDataFrame([(1, 2), (1, 4), (None, 7), (2, None)], "k int, x int")
+    got = r.over_keys(df, ["k"], {"s": F.sum("x"), "n": F.count("*")}).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 2, 6, 2), (1, 4, 6, 2), (None, 7, 7, 1), (2, None, None, 1)], key=str)
+    assert r.over_keys(df.limit(0), ["k"], {"s": F.sum("x")}).count() == 0
